@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanework.llm import bpe, decontaminate, media, shards, substring, token_counts, url_rules
+from lanework.llm import bpe, decontaminate, lm, media, neardup, quality, shards, substring, token_counts, url_rules
 
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -34,6 +34,14 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
+    trained, counts = lm.learn(docs.where("not held_out").select("text"))
+    rows = lm.score(docs, trained, counts, ["doc_id", "held_out"])
+    return rows.withColumn("train_tokens", F.lit(trained.total).cast("long"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_read(spark, sf_dir, "pages"), url_rules.rules_frame(spark, RULES))
 
@@ -67,6 +75,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neardup.similar_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.drop("k", "h")
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
@@ -76,11 +89,28 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_sniffing, op2_benchmark_decontamination, op4_url_rules, op5_substring_dedup, op6_byte_bpe, op8_hilbert_shards, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_media_sniffing,
+        op2_benchmark_decontamination,
+        op3_lm_scoring,
+        op4_url_rules,
+        op5_substring_dedup,
+        op6_byte_bpe,
+        op7_ngram_jaccard_join,
+        op8_hilbert_shards,
+        op9_quality_classifier,
+        op10_token_counts,
+    )
 }
 ORACLES: dict[str, str] = {"op4_url_rules": OP4_SQL}
