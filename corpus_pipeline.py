@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.llm import bpe, decontaminate, neardup, quality, substring
-from lanework.llm.store import written
+from lanework.llm.store import ROW, unwrapped, wrapped, written
 
 ORACLE_SQL = None
 
@@ -23,7 +23,7 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects, as badly made or as abusive, go."""
     models = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, models).where("keep_document").drop("quality_score", "toxic_score", "keep_document")
+    return unwrapped(quality.score(wrapped(docs), models, keep=[ROW]).where("keep_document"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +33,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are taken out of the texts; a document that was nothing else goes."""
-    rows = substring.repeats(docs).where("n_words = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    size = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumn("text", text).withColumn("n_chars", size).select(*docs.columns)
+    rows = substring.repeats(wrapped(docs)).where("n_words = 0 or n_removed < n_words")
+    changed, old = F.col("n_removed") > 0, F.col(f"`{ROW}`")
+    new = old.withField("text", F.when(changed, F.col("kept")).otherwise(old["text"]))
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(old["n_chars"]))
+    return unwrapped(rows.select(new.alias(ROW))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    index = decontaminate.build_index(docs, with_text=True)
+    rows = wrapped(docs)
+    index = decontaminate.build_index(rows)
     found = decontaminate.find_exact(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontaminate.with_columns(index, found.where(F.size("spans") == 0), docs.schema, docs.columns).select(*docs.columns)
+    return unwrapped(decontaminate.with_columns(index, found.where(F.size("spans") == 0), rows.schema, [ROW]))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ Scale: one pass over the rows, no shuffle; a worker holds the vocabulary, bounde
 vocabulary's path is a parameter and each worker reads it for itself.
 
 Defined results: null and empty texts have no ids and decode to no bytes; an id outside the vocabulary is an error;
-repeated rows stay; other columns pass unchanged, and a column with the name of an output is an error that says so.
+repeated rows stay; other columns pass unchanged, but one with the name of an output gives way to it.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanework.llm.store import bounded_batches
+from lanework.llm.store import bounded_batches, giving_way
 
 #: Words in the younger half of a worker's memo, and pairs in its memo of compatibility.
 MEMO_WORDS = 150_000
@@ -140,37 +141,38 @@ def digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def _added(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
-    if clash := sorted(set(df.columns) & {f.name for f in fields}):
-        raise ValueError(f"rename these columns first: {', '.join(clash)}")
+def _added(df: DataFrame, of: str, kind: str, fields: list[T.StructField]) -> tuple[DataFrame, list[str], T.StructType]:
+    """df with the operator's input last, the names of the columns that pass, and the result's schema."""
     bounded_batches(df.sparkSession)
-    return T.StructType([*df.schema.fields, *fields])
+    names = giving_way(df.columns, [f.name for f in fields])
+    passing = df.select(*[F.col(f"`{n}`") for n in names])
+    return df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{of}`").cast(kind).alias("\1in")), names, T.StructType([*passing.schema.fields, *fields])
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", with_decoded: bool = False) -> DataFrame:
     """df with n_tokens and ids; asked to, with `decoded` too, the bytes that decoding just these ids gives."""
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.BinaryType())] * with_decoded]
-    schema, names = _added(df, fields), df.columns
+    source, names, schema = _added(df, text, "string", fields)
 
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            ids = [own.encode(x.as_py() or "") for x in batch.column(text)]
+            ids = [own.encode(x.as_py() or "") for x in batch.column("\1in")]
             new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if with_decoded:
                 new.append(pa.array(map(own.decode, ids), pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, *[f.name for f in fields]])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], [*names, *[f.name for f in fields]])
 
-    return df.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """df with `decoded`, the bytes of binary ids."""
-    schema, names = _added(df, [T.StructField("decoded", T.BinaryType())]), df.columns
+    source, names, schema = _added(df, ids, "binary", [T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((own.decode(x.as_py() or b"") for x in batch.column(ids)), pa.binary())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array((own.decode(x.as_py() or b"") for x in batch.column("\1in")), pa.binary())], [*names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)

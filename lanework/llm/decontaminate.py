@@ -14,7 +14,7 @@ A document's results of several blocks meet in one grouping by (segment, place).
 Defined results: null and empty texts have no words and no hits; an item without words has no window and never occurs; an
 item of fewer words than the window's is one window; items with equal text each count; null item ids are left out of the
 list of ids but their windows count as hits and items; repeated documents each get their row; empty tables give no rows
-or no hits; extra columns pass through the index unchanged.
+or no hits; extra columns pass through the index unchanged, but one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanework.llm.store import bounded_batches, gathered, pack, task_numbers, unpack, written
+from lanework.llm.store import bounded_batches, gathered, giving_way, pack, task_numbers, unpack, written
 from lanework.llm.words import ALNUM_LOWER, find_words
 
 WINDOW = 10
@@ -138,14 +138,14 @@ class Phrases:
                 yield int(p), left
 
 
-def build_index(docs: DataFrame, text: str = "text", name: str = "index", with_text: bool = False) -> DataFrame:
-    """The index of all documents, stored in the shared folder.  The other columns stay with the documents, the text if asked."""
+def build_index(docs: DataFrame, text: str = "text", name: str = "index") -> DataFrame:
+    """The index of all documents, stored in the shared folder.  The other columns stay with the documents."""
     bounded_batches(docs.sparkSession)
     numbers = task_numbers
 
     def run(batches):
         for seg, table in zip(numbers(), gathered(batches, text), strict=False):
-            held = table if with_text else table.drop_columns([text])
+            held = table.drop_columns([text])
             row = Segment.of(table.column(text)).row(seg, held.append_column("\0", pa.nulls(table.num_rows, pa.int8())))
             yield pa.RecordBatch.from_arrays(row, [f.split()[0] for f in INDEX.split(", ")])
 
@@ -272,15 +272,18 @@ def near(segment: Segment, places: np.ndarray, span: int) -> list[tuple[int, int
 
 def with_columns(index: DataFrame, found: DataFrame, schema: T.StructType, keep: list[str]) -> DataFrame:
     """The documents' own columns beside what was found."""
-    fields = [f for f in schema.fields if f.name in keep]
+    outputs = [c for c in found.columns if c not in ("seg", "at")]
+    keep = giving_way(keep, outputs)
+    doc = T.StructType([f for name in keep for f in schema.fields if f.name == name])
 
     def run(batches):
         for batch in batches:
             for seg, blob in zip(batch.column("seg").to_pylist(), batch.column("docs"), strict=True):
-                table = unpack(blob.as_buffer()).select(keep)
+                table = unpack(blob.as_buffer())
                 n = table.num_rows
-                for own in table.to_batches() or []:
-                    yield pa.RecordBatch.from_arrays([pa.array([seg] * n, pa.int64()), pa.array(range(n), pa.int32()), *own.columns], ["\1seg", "\1at", *keep])
+                own = pa.StructArray.from_arrays([table.column(k).combine_chunks() for k in keep], keep) if n else pa.array([], pa.null())
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([seg] * n, pa.int64()), pa.array(range(n), pa.int32()), own], ["seg", "at", "\1doc"])
 
-    own = index.select("seg", "docs").mapInArrow(run, T.StructType([T.StructField("\1seg", T.LongType()), T.StructField("\1at", T.IntegerType()), *fields]))
-    return own.join(found, (F.col("\1seg") == found["seg"]) & (F.col("\1at") == found["at"])).drop("\1seg", "\1at", "seg", "at")
+    own = index.select("seg", "docs").mapInArrow(run, T.StructType([T.StructField("seg", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("\1doc", doc)]))
+    return own.join(found, ["seg", "at"]).select(*[F.col("\1doc")[k].alias(k) for k in keep], *outputs)

@@ -9,8 +9,8 @@ file, in SQL functions only.
 Scale: one pass over the rows, no shuffle, nothing kept between rows; a task holds one bounded Arrow batch.
 
 Defined results: a null value is an empty one, which has no type (`valid` false, the declared type stays); a hit that its
-validator rejects leaves no trace; equal values give equal results; repeated rows stay; other columns pass unchanged, and
-a column that has the name of an output is an error that says so; an empty table gives an empty table.
+validator rejects leaves no trace; equal values give equal results; repeated rows stay; other columns pass unchanged, but
+one that has the name of an output gives way to it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanework.llm.store import bounded_batches
+from lanework.llm.store import bounded_batches, giving_way
 
 RATE = 8000
 BLOCK = 64
@@ -266,16 +266,16 @@ _EMBEDDED = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), (
 
 def sniff(df: DataFrame, media: str = "media", declared: str | None = "declared_type") -> DataFrame:
     """df with media_type, valid, payload, feature, embedded."""
-    if clash := sorted(set(df.columns) & set(SNIFFED.names)):
-        raise ValueError(f"rename these columns first: {', '.join(clash)}")
     bounded_batches(df.sparkSession)
-    names = df.columns
+    names = giving_way(df.columns, SNIFFED.names)
+    said = F.col(f"`{declared}`").cast("string") if declared else F.lit(None).cast("string")
+    source = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{media}`").cast("binary").alias("\1media"), said.alias("\1said"))
+    kept = source.drop("\1media", "\1said").schema.fields
 
     def run(batches):
         for batch in batches:
             kinds, valid, payloads, features, inside = [], [], [], [], []
-            types = batch.column(declared).to_pylist() if declared else [None] * batch.num_rows
-            for value, said in zip(batch.column(media), types, strict=True):
+            for value, said in zip(batch.column("\1media"), batch.column("\1said").to_pylist(), strict=True):
                 data = value.as_py() or b""
                 found = objects(data)
                 whole = found.pop(0)[0] if found and found[0][1:] == (0, len(data)) else None
@@ -286,9 +286,9 @@ def sniff(df: DataFrame, media: str = "media", declared: str | None = "declared_
                 features.append(feature_of(whole or said or "unknown", payload))
                 inside.append([{"type": k, "offset": a, "length": n} for k, a, n in found])
             new = [pa.array(kinds, pa.string()), pa.array(valid, pa.bool_()), pa.array(payloads, pa.binary()), pa.array(features, pa.string()), pa.array(inside, _EMBEDDED)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, *SNIFFED.names])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], [*names, *SNIFFED.names])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *SNIFFED.fields]))
+    return source.mapInArrow(run, T.StructType([*kept, *SNIFFED.fields]))
 
 
 def carve(sniffed: DataFrame, media: str = "media") -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanework.llm.words import CHUNK_BYTES
 
@@ -99,9 +100,19 @@ def segments(df: DataFrame, text: str, name: str) -> DataFrame:
     return written(df.mapInArrow(run, "seg long, blob binary"), name)
 
 
-def columns(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(n) for n in names], names)
+#: Whole rows as one struct, beside the text an operator works on: no column's name can clash with the operator's.
+ROW = "\1row"
 
 
-def as_batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    yield from table.to_batches()
+def wrapped(df: DataFrame, text: str = "text") -> DataFrame:
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), F.col(f"`{text}`").alias(text))
+
+
+def unwrapped(df: DataFrame) -> DataFrame:
+    return df.select(f"`{ROW}`.*")
+
+
+def giving_way(names: list[str], outputs: list[str]) -> list[str]:
+    """Columns to pass on: one that has an output's name gives way to the output."""
+    taken = {o.lower() for o in outputs}
+    return [n for n in names if n.lower() not in taken]

@@ -18,7 +18,7 @@ so a bucket's size doesn't.  Texts move twice, compressed, to meet the answers f
 
 Defined results: null and empty texts have no words and lose none; documents of fewer words than the window lose none;
 repeated rows are each other's repeats, whatever their ids; an empty table gives an empty table; other columns pass
-unchanged, and a column with the name of an output is an error that says so.
+unchanged, but one with the name of an output gives way to it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanework.llm.store import bounded_batches, segments, unpack
+from lanework.llm.store import bounded_batches, giving_way, segments, unpack
 from lanework.llm.words import PLAIN, Words, find_words, sliding_argmin, window_hashes
 
 WINDOW = 35
@@ -173,20 +173,19 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, seed: int =
     `result` can replace the last step: a function of (table, words, removed mask of words) that gives columns for `fields`.
     """
     fields = fields or FIELDS
-    if clash := sorted(set(df.columns) & {f.name for f in fields}):
-        raise ValueError(f"rename these columns first: {', '.join(clash)}")
     if not 0 < seed <= window:
         raise ValueError("a seed is no longer than a window")
-    spark, schema, names = df.sparkSession, df.schema, df.columns
+    spark, names = df.sparkSession, giving_way(df.columns, [f.name for f in fields])
     bounded_batches(spark)
-    own = segments(df, text, "substring")
+    schema = df.select(*[F.col(f"`{n}`") for n in names]).schema
+    own = segments(df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias("\1text")), "\1text", "substring")
     n_segments = own.count()
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_segments // SEGMENTS_A_BUCKET, 1)
     finish = result or _kept
 
     def runs_of(blob) -> tuple[pa.Table, Runs]:
         table = unpack(blob.as_buffer())
-        return table, Runs(find_words(table.column(text), PLAIN), window, seed)
+        return table, Runs(find_words(table.column("\1text"), PLAIN), window, seed)
 
     def seeds(batches):
         for batch in batches:
@@ -215,7 +214,7 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, seed: int =
                 np.add.at(cover, hot + window, -1)
                 removed = np.cumsum(cover)[:-1] > 0
                 new = finish(table, runs.words, removed)
-                for b in pa.table([*table.columns, *new], names=[*names, *[f.name for f in fields]]).combine_chunks().to_batches():
+                for b in pa.table([*[table.column(n) for n in names], *new], names=[*names, *[f.name for f in fields]]).combine_chunks().to_batches():
                     yield b
 
     def answers(messages: DataFrame, kind: np.dtype, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lanework.llm.store import bounded_batches
+from lanework.llm.store import bounded_batches, giving_way
 
 BATCH_BYTES = 256 << 10
 PIECE_CHARS = 64 << 10
@@ -113,7 +113,8 @@ def token_count(path: str):
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 512, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, n_bytes, n_tokens, over_limit."""
+    """keep columns, n_bytes, n_tokens, over_limit; a column to keep that has the name of one of these gives way to it."""
+    keep = tuple(giving_way(list(keep), ["n_bytes", "n_tokens", "over_limit"]))
     bounded_batches(df.sparkSession)
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(whole).cast("long").alias("n_bytes"), token_count(path)(whole).alias("n_tokens"))

@@ -88,7 +88,11 @@ def _key(path: str) -> Column:
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
-    """Every row with host, path, the rule that won (null if none fits) and its verdict, or the default."""
+    """Every row with host, path, the rule that won (null if none fits) and its verdict, or the default.
+
+    A column to keep that has the name of one of these gives way to it.
+    """
+    keep = tuple(c for c in keep if c.lower() not in ("host", "path", "rule", "verdict"))
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     found = judge_keys(rows.select("host", "path").distinct(), rules)
     return rows.join(found, ["host", "path"], "left").select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).cast(T.StringType()).alias("verdict"))
