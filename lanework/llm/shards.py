@@ -14,7 +14,8 @@ bounded size.  So neither a hot source nor a large group of equal texts makes a
 cells, of which there are 2^(BITS * dimensions) at most, whatever the rows.
 
 Defined results: null texts have size 1 (0 bytes plus 1) and no bytes' checksum, that of the empty text; null dimensions
-sort first; equal rows each get a place of their own; an empty table gives an empty table; other columns aren't read.
+sort first; equal rows each get a place of their own; an empty table gives an empty table; other columns aren't read, and
+a column to keep that has the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lanework.llm.store import giving_way, written
+
 BITS = 4
 ROWS_A_PART = 20_000
 SHARDS = 16
@@ -69,6 +72,7 @@ def quantised(x: Column, cuts: list[float]) -> Column:
 
 def assign(df: DataFrame, dims: dict[str, Column], size: Column, tie: list[Column], keep: dict[str, Column], shards: int = SHARDS, law: str = "rows", bits: int = BITS, rows_a_part: int = ROWS_A_PART) -> DataFrame:
     """keep's columns, law, shard, slot (0, 1, ... in each shard), curve (the index of the row's cell)."""
+    keep = {n: keep[n] for n in giving_way(list(keep), ["law", "shard", "slot", "curve"])}
     if law not in ("rows", "bytes"):
         raise ValueError("law is rows or bytes")
     spark = df.sparkSession
@@ -77,7 +81,8 @@ def assign(df: DataFrame, dims: dict[str, Column], size: Column, tie: list[Colum
     cuts = df.agg(*[F.percentile_approx(c, asked, 10_000).alias(n) for n, c in dims.items()]).first()
     points = [quantised(c, sorted(set(cuts[n] or []))).cast("int").alias(f"__q{i}") for i, (n, c) in enumerate(dims.items())]
     names = [f"__q{i}" for i in range(len(points))]
-    rows = df.select(*[c.alias(n) for n, c in keep.items()], *points, size.cast("long").alias("__size"), F.xxhash64(*tie).alias("__tie"))
+    # texts are read once; what follows works on a few numbers a row
+    rows = written(df.select(*[c.alias(n) for n, c in keep.items()], *points, size.cast("long").alias("__size"), F.xxhash64(*tie).alias("__tie")), "points")
     every = np.stack(np.meshgrid(*[np.arange(steps)] * len(names), indexing="ij"), -1).reshape(-1, len(names))
     # bounded: 2^(bits * dimensions) rows
     cells = spark.createDataFrame([(*map(int, p), int(h)) for p, h in zip(every, hilbert(every, bits), strict=True)], ", ".join([*[f"{n} int" for n in names], "curve long"]))
@@ -86,7 +91,7 @@ def assign(df: DataFrame, dims: dict[str, Column], size: Column, tie: list[Colum
     running = Window.orderBy("curve", "__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("curve", "__part").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("s"))
     parts = parts.select("curve", "__part", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("__before"), F.coalesce(F.sum("s").over(running), F.lit(0)).alias("__bytes"))
-    totals = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("s")).first()
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__size"), F.lit(0)).alias("s")).first()
     inside = Window.partitionBy("curve", "__part").orderBy("__tie", *keep)
     sums = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(parts, ["curve", "__part"])
