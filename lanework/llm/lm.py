@@ -17,7 +17,8 @@ Pair counts are classes squared at most, whatever the corpus, and each task send
 
 Defined results: null and empty texts have one token, the end; a null id counts as the empty text in the split; repeated
 rows each get their row; without training documents every token is unknown and has base probability 1 and the model's
-classes are equally likely; an empty table gives an empty table; extra columns aren't read.
+classes are equally likely; an empty table gives an empty table; extra columns aren't read, and
+a column to keep that has the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanework.llm.store import bounded_batches, task_numbers, written
+from lanework.llm.store import bounded_batches, giving_way, task_numbers, written
 from lanework.llm.words import PLAIN_LOWER, Words, chunks, find_words
 
 #: Words sent to workers with their counts; of these, words that are classes of their own.
@@ -94,6 +95,20 @@ def count_words(texts: DataFrame) -> DataFrame:
     return written(rows.groupBy("word", "shape").agg(F.sum("n").alias("n")), "words")
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of at least such a count that they are `most` at most: no task sorts or gathers the others.
+
+    The count is an edge of steps of an eighth of a doubling, of which there are some hundred.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
+    left, least = most, None
+    for r in sorted(counts.groupBy(step).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).collect(), key=lambda r: -r["step"]):
+        if r["c"] > left:
+            break
+        left, least = left - r["c"], r["n"]
+    return counts.where(F.col("n") >= F.lit(least)) if least is not None else counts.where("false")
+
+
 @dataclass
 class Classes:
     """Classes 0 .. len(own) - 1 are words, then shapes, then the end."""
@@ -237,7 +252,7 @@ def learn(texts: DataFrame, head: int = HEAD, own_class: int = OWN_CLASS, steps:
     counts = count_words(texts)
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = texts.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    top = most_frequent(counts, head).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # `head` rows at most
     words = top.column("word").cast(pa.large_string()).combine_chunks()
     classes = Classes(words.slice(0, own_class))
     # the words with a class of their own aren't part of their shape
@@ -258,11 +273,12 @@ def learn(texts: DataFrame, head: int = HEAD, own_class: int = OWN_CLASS, steps:
 def score(docs: DataFrame, trained: Trained, counts: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep's columns with n_tokens, n_known, base_score, score (log10)."""
     bounded_batches(docs.sparkSession)
+    keep = giving_way(keep, ["n_tokens", "n_known", "base_score", "score"])
     sent = docs.sparkSession.sparkContext.broadcast(trained)
     numbers = task_numbers
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("\1text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for name, kind in (("\1row", "long"), ("n_tokens", "long"), ("known", "long"), ("base", "double"), ("model", "double"), ("rest", REST)):
+    for name, kind in (("\1row", "long"), ("\1n", "long"), ("\1known", "long"), ("\1base", "double"), ("\1model", "double"), ("\1rest", REST)):
         schema = schema.add(name, kind)
 
     def run(batches):
@@ -295,13 +311,13 @@ def score(docs: DataFrame, trained: Trained, counts: DataFrame, keep: list[str],
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *new], schema.names)
 
     rows = written(source.mapInArrow(run, schema), "scored")
-    spread = rows.select("\1row", F.explode("rest").alias("r")).select("\1row", F.col("r.word").alias("word"), F.col("r.shape").alias("shape"), F.col("r.n").alias("times"))
+    spread = rows.select("\1row", F.explode("\1rest").alias("r")).select("\1row", F.col("r.word").alias("word"), F.col("r.shape").alias("shape"), F.col("r.n").alias("times"))
     # of fixed size: one row for each shape
     shape = F.broadcast(docs.sparkSession.createDataFrame([(i, float(t), float(d), float(u)) for i, (t, d, u) in enumerate(zip(trained.shape_total, trained.shape_discount, trained.shape_unknown, strict=True))], "shape int, total double, discount double, unknown double"))
     met = spread.join(counts.select("word", "n"), "word", "left").join(shape, "shape")
     c = F.coalesce("n", F.lit(0))
     base = F.col("times") * (F.log10(c + 1) - float(np.log10(trained.total + trained.distinct + 1)))
     inside = F.col("times") * F.log10(F.when(c > 0, (c - F.col("discount")) / F.greatest("total", F.lit(1.0))).otherwise(F.col("unknown")))
-    sums = met.groupBy("\1row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("a"), F.sum(base).alias("b"), F.sum(inside).alias("m"))
+    sums = met.groupBy("\1row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("\1a"), F.sum(base).alias("\1b"), F.sum(inside).alias("\1m"))
     zero = F.lit(0.0)
-    return rows.drop("rest").join(sums, "\1row", "left").select(*[F.col(f"`{x}`") for x in keep], "n_tokens", (F.col("known") + F.coalesce("a", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("model") + F.coalesce("m", zero)).alias("score"))
+    return rows.drop("\1rest").join(sums, "\1row", "left").select(*[F.col(f"`{x}`") for x in keep], F.col("\1n").alias("n_tokens"), (F.col("\1known") + F.coalesce("\1a", F.lit(0))).alias("n_known"), (F.col("\1base") + F.coalesce("\1b", zero)).alias("base_score"), (F.col("\1model") + F.coalesce("\1m", zero)).alias("score"))
