@@ -13,7 +13,7 @@ BROADCAST_BYTES = 10 << 20
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint, if the optimizer's size estimate of the side is within the bound; else the side as it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= most else df
 
 
