@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanework.llm.store import bounded_batches, giving_way, task_numbers, written
-from lanework.llm.words import PLAIN_LOWER, Words, chunks, find_words
+from lanework.llm.words import PLAIN_LOWER, Words, chunks, find_words, lexicon_bytes
 
 #: Words sent to workers with their counts; of these, words that are classes of their own.
 HEAD = 1 << 17
@@ -54,12 +54,6 @@ _LAST[128:] = 36
 SHAPES = 37 * 6
 
 
-def lexicon_bytes(lexicon: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    lexicon = lexicon.cast(pa.large_binary())
-    offsets = np.frombuffer(lexicon.buffers()[1], np.int64)[lexicon.offset : lexicon.offset + len(lexicon) + 1]
-    return np.frombuffer(lexicon.buffers()[2] or b"", np.uint8), offsets
-
-
 def shapes(lexicon: pa.Array) -> np.ndarray:
     """The shape of each (non-empty) word."""
     if not len(lexicon):

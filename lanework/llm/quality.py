@@ -15,11 +15,13 @@ meet the labels, and of pattern counts.  Sent to workers: the sample's keys and
 
 Defined results: null and empty texts get the verdict `bad` by the labeller of length, and are scored like any other;
 labels are averaged for each doc_id, ties vote nothing, null labels vote nothing; repeated rows get equal scores; without
-any labels or documents the heuristics alone, or nothing, decide; extra columns aren't read.
+any labels or documents the heuristics alone, or nothing, decide; extra columns aren't read, and a column to keep that has
+the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -28,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanework.llm.store import bounded_batches
-from lanework.llm.words import PLAIN, Words, chunks, find_words
+from lanework.llm.store import bounded_batches, giving_way, written
+from lanework.llm.words import PLAIN, Words, byte_table, chunks, find_words, lexicon_bytes, mix
 
 BITS = 18
 #: The sample's bound, in documents.
@@ -39,19 +41,70 @@ GOOD, NONE, BAD = 1, 0, -1
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 QUALITY_VOTES = ("symbols", "capitals", "fragments", "repetition", "diversity", "length")
 TOXIC_VOTES = ("abuse", "abuse_often")
-_ABUSE = {w.encode() for w in ABUSE}
-_EDGES = b".,;:!?$#*%&()[]{}<>|\"'-_/\\"
+_EDGE = np.zeros(256, bool)
+_EDGE[list(b".,;:!?$#*%&()[]{}<>|\"'-_/\\")] = True
+_LOWER = byte_table(b"", True)
+_WORDY = np.zeros(256, bool)
+_WORDY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+BEGINNINGS = (4, 5, 6, 7, 8)
+
+
+class Lexicon:
+    """Flags and hashed features of distinct words, worked out on their bytes, all words at once."""
+
+    def __init__(self, lexicon: pa.Array, bits: int = BITS):
+        self.n = len(lexicon)
+        self.bits = bits
+        if not self.n:
+            lexicon = pa.array([b"x"], pa.large_binary())
+        data, offsets = lexicon_bytes(lexicon)
+        starts, ends = offsets[:-1], offsets[1:]
+        at = np.arange(len(data))
+        edge = _EDGE[data]
+        first = np.minimum.reduceat(np.where(edge, len(data), at), starts)
+        last = np.maximum.reduceat(np.where(edge, -1, at), starts) + 1
+        first, last = np.minimum(first, ends), np.maximum(last, np.minimum(first, ends))  # of the bare word
+        low = _LOWER[data].astype(np.uint64)
+        place = at - np.repeat(first, ends - starts)
+        inside = (place >= 0) & (at < np.repeat(last, ends - starts))
+        powers = np.multiply.accumulate(np.full(int((ends - starts).max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        self.hash = mix(np.add.reduceat(np.where(inside, (low + np.uint64(1)) * powers[np.where(inside, place, 0)], np.uint64(0)), starts))
+        size = last - first
+
+        def window(begin: np.ndarray, length: np.ndarray, width: int, source: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(begin), np.uint64)
+            for i in range(width):
+                out |= np.where(i < length, source[np.minimum(begin + i, len(data) - 1)].astype(np.uint64) << np.uint64(8 * i), np.uint64(0))
+            return out
+
+        eight, none = window(first, size, 8, low), 1 << bits
+        tail = window(np.maximum(ends - 3, starts), np.minimum(ends - starts, 3), 3, data)
+        slot = lambda x, salt: (mix(x + np.uint64(salt)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        columns = [slot(self.hash, 1), slot(tail, 2 << 32)]
+        for k in BEGINNINGS:
+            columns.append(np.where(size >= k, slot(eight & np.uint64((1 << 8 * k) - 1), k << 40), none))
+        #: A column for each feature of a word; 1 << bits where it has none.
+        self.features = np.stack(columns, 1)[: self.n]
+        count = lambda flag: np.add.reduceat(flag.astype(np.int64), starts)
+        big, small = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122))
+        doubled = (ends - starts > 2) & (data[ends - 1] == data[np.maximum(ends - 2, 0)]) & _EDGE[data[ends - 1]]
+        self.flags = np.stack([doubled, (big > 0) & (small == 0) & (ends - starts > 1), count(_WORDY[data]) == 0, np.isin(self.hash, _abuse())], 1)[: self.n].astype(np.float64)
+
+
+@lru_cache(maxsize=1)
+def _abuse() -> np.ndarray:
+    powers = np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+    return mix(np.array([((np.frombuffer(w.encode(), np.uint8).astype(np.uint64) + np.uint64(1)) * powers[: len(w)]).sum() for w in ABUSE], np.uint64))
 
 
 class Shares:
     """What the labellers look at, for each text."""
 
-    def __init__(self, words: Words):
+    def __init__(self, words: Words, bits: int = BITS):
         n = np.diff(words.offsets)
         self.n = n
-        lexicon = words.lexicon.to_pylist()
-        flags = np.array([(len(w) > 2 and w[-1] == w[-2] and w[-1] in _EDGES, w.isupper() and len(w) > 1, not any(c > 127 or chr(c).isalnum() for c in w), w.strip(_EDGES).lower() in _ABUSE) for w in lexicon], np.float64).reshape(-1, 4)
-        each = flags[words.codes]
+        self.lexicon = Lexicon(words.lexicon, bits)
+        each = self.lexicon.flags[words.codes]
         same = np.zeros(words.n)
         if words.n > 1:
             same[1:] = words.codes[1:] == words.codes[:-1]
@@ -84,14 +137,6 @@ def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return pairs // width, pairs % width
 
 
-def word_features(word: bytes, bits: int = BITS) -> list[int]:
-    """Hashed features of one word: itself, its beginnings and its end."""
-    bare = word.strip(_EDGES).lower()
-    said = [b"w" + bare, b"e" + word[-3:]]
-    said += [b"p" + bare[:k] for k in (4, 5, 6, 7, 8) if len(bare) >= k]
-    return [xxhash.xxh32_intdigest(x) & ((1 << bits) - 1) for x in said]
-
-
 def step_features(shares: Shares, bits: int = BITS) -> np.ndarray:
     """Hashed features of the steps that a text's shares are on; a column for each."""
     out = []
@@ -124,16 +169,19 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.
     return good
 
 
-def train(features: list[np.ndarray], targets: np.ndarray, bits: int = BITS, epochs: int = 30, rate: float = 0.3, decay: float = 1e-3, rare: float = 4.0, seldom: float = 0.01, seed: int = 9) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer, by AdaGrad; a feature of less than the share `seldom` of documents, or of fewer than three, has no weight.
+def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, bits: int = BITS, epochs: int = 30, rate: float = 0.3, decay: float = 3e-3, rare: float = 4.0, seldom: float = 0.01, seed: int = 9) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer of (distinct features, values), by AdaGrad; a feature of less than the share `seldom` of documents, or of fewer than three, has no weight.
 
     A target of 0 (bad, the rarer one) counts `rare` times as much as one of 1.
     """
     weights, squares, bias, square = np.zeros(1 << bits), np.full(1 << bits, 1e-8), 0.0, 1e-8
     if not len(features):
         return weights, bias
-    held = np.bincount(np.concatenate([np.unique(f) for f in features]), minlength=1 << bits) >= max(3, seldom * len(features))
-    rows = [np.unique(f[held[f]], return_counts=True) for f in features]
+    often = np.zeros(1 << bits, np.int64)
+    for f, _ in features:
+        often[f] += 1
+    held = often >= max(3, seldom * len(features))
+    rows = [(f[held[f]], v[held[f]]) for f, v in features]
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         order = random.permutation(len(rows))
@@ -141,7 +189,7 @@ def train(features: list[np.ndarray], targets: np.ndarray, bits: int = BITS, epo
             batch = order[at : at + 64]
             sizes = [len(rows[i][0]) for i in batch]
             owner = np.repeat(np.arange(len(batch)), sizes)
-            f, v = np.concatenate([rows[i][0] for i in batch]), np.sqrt(np.concatenate([rows[i][1] for i in batch]))
+            f, v = (np.concatenate([rows[i][j] for i in batch]) for j in range(2))
             margin = np.bincount(owner, weights[f] * v, len(batch)) + bias
             share = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             off = rare * (1 - targets[batch]) * share - targets[batch] * (1 - share)
@@ -154,37 +202,30 @@ def train(features: list[np.ndarray], targets: np.ndarray, bits: int = BITS, epo
     return weights, bias
 
 
-def features_of(texts: pa.Array, bits: int = BITS) -> list[np.ndarray]:
-    """All hashed features of each text, with repeats."""
+def features_of(texts: pa.Array, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct hashed features of each text, and how many of its distinct words have them."""
     words = find_words(texts, PLAIN)
-    shares = Shares(words)
+    shares = Shares(words, bits)
     steps = step_features(shares, bits)
-    lexicon = [np.array(word_features(w, bits)) for w in words.lexicon.to_pylist()]
     at = np.searchsorted(shares.owner, np.arange(len(shares.n) + 1))
-    return [np.concatenate([steps[i], *[lexicon[c] for c in shares.code[a:b].tolist()]]) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+    out = []
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        own = shares.lexicon.features[shares.code[a:b]].ravel()
+        own, n = np.unique(np.concatenate([steps[i], own[own < 1 << bits]]), return_counts=True)
+        out.append((own.astype(np.int32), n.astype(np.float32)))
+    return out
 
 
 def margins(texts: pa.Array, models: list[tuple[np.ndarray, float]], bits: int = BITS) -> np.ndarray:
     """A column of margins for each model."""
     words = find_words(texts, PLAIN)
-    shares = Shares(words)
+    shares = Shares(words, bits)
     steps = step_features(shares, bits)
-    lexicon = [word_features(w, bits) for w in words.lexicon.to_pylist()]
-    sizes = np.fromiter(map(len, lexicon), np.int64, len(lexicon))
-    flat = np.fromiter((f for w in lexicon for f in w), np.int64, int(sizes.sum()))
-    starts = np.append(0, np.cumsum(sizes))
-    # each (text, distinct word) stands for the word's features; equal features of a text are counted first
-    per = sizes[shares.code]
-    where = np.repeat(starts[:-1][shares.code] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
-    feature, owner = flat[where], np.repeat(shares.owner, per)
-    useful = np.zeros(1 << bits, bool)
-    for weights, _ in models:
-        useful |= weights != 0
-    live = useful[feature]
-    feature, owner = np.append(feature[live], steps.T.ravel()), np.append(owner[live], np.tile(np.arange(len(shares.n)), steps.shape[1]))
-    pairs, counts = np.unique(owner << bits | feature, return_counts=True)
-    owner, feature, value = pairs >> bits, pairs & ((1 << bits) - 1), np.sqrt(counts)
-    return np.stack([np.bincount(owner, weights[feature] * value, len(shares.n)) + bias for weights, bias in models], 1)
+    out = []
+    for weights, bias in models:  # linear: a word stands for the sum of its features' weights
+        each = np.append(weights, 0)[shares.lexicon.features].sum(1, dtype=np.float64)
+        out.append(np.bincount(shares.owner, each[shares.code], len(shares.n)) + weights[steps].sum(1, dtype=np.float64) + bias)
+    return np.stack(out, 1)
 
 
 def votes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -212,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     labelled = F.when((F.col("labelled_quality") != NONE) | (F.col("labelled_toxic") != NONE), 0).otherwise(1)
     columns = {"quality": [*QUALITY_VOTES, "labelled_quality"], "toxic": [*TOXIC_VOTES, "labelled_toxic"]}
     every = [*columns["quality"], *columns["toxic"]]
-    light = voted.select("k", labelled.alias("late"), *every)
+    light = written(voted.select("k", labelled.alias("late"), *every), "votes")
     counted = light.groupBy(*every).agg(F.count(F.lit(1)).alias("n")).collect()  # 3^9 rows at most
     picked = light.dropDuplicates(["k"]).orderBy("late", F.xxhash64("k"), "k").limit(sample).collect()  # bounded by `sample`
     posterior = {}
@@ -229,11 +270,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         for whole in batches:
             for batch in chunks(whole, "text"):
                 found = features_of(batch.column("text"), bits)
-                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["k", "f"])
+                yield pa.RecordBatch.from_arrays([batch.column("k"), *[pa.array([x[j].tobytes() for x in found], pa.binary()) for j in range(2)]], ["k", "f", "v"])
 
     chosen = docs.sparkSession.createDataFrame([(k,) for k in targets], "k long")
-    rows = keyed.join(F.broadcast(chosen), "k").select("k", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "k long, f array<int>").dropDuplicates(["k"])
-    got = {r["k"]: np.array(r["f"]) for r in rows.collect()}  # bounded by `sample`
+    rows = keyed.join(F.broadcast(chosen), "k").select("k", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "k long, f binary, v binary").dropDuplicates(["k"])
+    got = {r["k"]: (np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rows.toLocalIterator()}  # bounded by `sample`
     order = sorted(got)
     return {name: train([got[k] for k in order], np.array([targets[k][i] for k in order]), bits) for i, name in enumerate(columns)}
 
@@ -241,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 def score(docs: DataFrame, models: dict[str, tuple[np.ndarray, float]], text: str = "text", keep: list[str] | None = None, bits: int = BITS) -> DataFrame:
     """keep's columns (else all) with quality_score, toxic_score (probabilities) and keep_document."""
     bounded_batches(docs.sparkSession)
-    names = list(docs.columns if keep is None else keep)
+    names = giving_way(list(docs.columns if keep is None else keep), ["quality_score", "toxic_score", "keep_document"])
     sent = docs.sparkSession.sparkContext.broadcast([(w.astype(np.float32), b) for w, b in (models["quality"], models["toxic"])])
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("\1text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("quality_score", "double").add("toxic_score", "double").add("keep_document", "boolean")

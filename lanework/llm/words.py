@@ -99,6 +99,13 @@ def find_words(texts: pa.Array, kind: tuple[np.ndarray, bytes]) -> Words:
     return Words(np.searchsorted(starts, offsets).astype(np.int64), starts, ends, data, codes, every.dictionary)
 
 
+def lexicon_bytes(lexicon: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of words, and where each word begins and ends."""
+    lexicon = lexicon.cast(pa.large_binary())
+    offsets = np.frombuffer(lexicon.buffers()[1], np.int64)[lexicon.offset : lexicon.offset + len(lexicon) + 1]
+    return np.frombuffer(lexicon.buffers()[2] or b"", np.uint8), offsets
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of whole rows, each of about `most` bytes of text at most, or one row."""
     if not batch.num_rows:
