@@ -4,7 +4,8 @@ A sequence of tokens is what merging gives for its bytes if, and only if, each t
 bytes of just those two gives the two again.  So a word is encoded from the left, taking the longest token that begins
 here and is compatible with the one before; where none is, the token before is given up for the next shorter one.  A place
 that turned out to lead nowhere is never entered again, so each place is left once and the work is linear in the word.
-All tokens that begin at each place come from one Aho-Corasick pass over the bytes, read as Latin-1 text.
+The longest token at a place is found in the Aho-Corasick automaton's trie over the bytes, read as Latin-1 text, and each
+token knows the next shorter one that begins it.
 Compatibility of two tokens is worked out once, by merging their few bytes, and memoised; so is each word's result, in a
 memo of bounded size.
 
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from lanework.llm.store import bounded_batches, giving_way
 
 #: Words in the younger half of a worker's memo, and pairs in its memo of compatibility.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 300_000
 MEMO_PAIRS = 400_000
 
 
@@ -50,9 +51,13 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.pairs: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for token, i in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), i))
+        self.by_text = {token.decode("latin-1"): i for token, i in ranks.items()}
+        self.size = {i: len(token) for token, i in ranks.items()}
+        self.most = max(self.size.values(), default=0)
+        for token, i in self.by_text.items():
+            self.automaton.add_word(token, i)
         self.automaton.make_automaton()
+        self.shorter = Shorter(self)
         self.words, self.older = Memo(self), {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -78,32 +83,35 @@ class Codec:
         whole = self.ranks.get(data)
         if whole is not None or not data:
             return [whole] if data else []
-        begins: list[list[tuple[int, int]]] = [[] for _ in data]
-        for end, (size, i) in self.automaton.iter(data.decode("latin-1")):
-            begins[end + 1 - size].append((size, i))  # shorter ones come first
+        text, size, dead = data.decode("latin-1"), self.size, bytearray(len(data) + 1)
         out: list[int] = []
-        at, tried, dead = 0, [len(begins[0]) - 1], bytearray(len(data) + 1)
+        at, tries = 0, [self.longest(text, 0)]
         while at < len(data):
-            choice = tried[-1]
-            options = begins[at]
-            while choice >= 0:
-                size, i = options[choice]
-                if not dead[at + size] and (not out or self.compatible(out[-1], i)):
-                    break
-                choice -= 1
-            if choice >= 0:
-                tried[-1] = choice - 1
+            i = tries[-1]
+            while i is not None and (dead[at + size[i]] or (out and not self.compatible(out[-1], i))):
+                i = self.shorter[i]
+            if i is not None:
+                tries[-1] = i
                 out.append(i)
-                at += size
-                tried.append(len(begins[at]) - 1 if at < len(data) else 0)
+                at += size[i]
+                tries.append(self.longest(text, at) if at < len(data) else None)
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks single bytes")
                 dead[at] = 1
-                tried.pop()
-                at -= len(self.token[out.pop()])
+                tries.pop()
+                at -= size[out.pop()]
+                tries[-1] = self.shorter[tries[-1]]
         return out
 
+    def longest(self, text: str, at: int) -> int | None:
+        """The longest token at this place, by the automaton's trie."""
+        piece = text[at : at + self.most]
+        n = self.automaton.longest_prefix(piece)
+        while n and (found := self.by_text.get(piece[:n])) is None:
+            n -= 1
+        return found if n else None
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, each match of the pattern separately."""
         return b"".join(map(self.words.__getitem__, self.find(text)))
@@ -112,6 +120,20 @@ class Codec:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class Shorter(dict):
+    """Token to the longest token that is a beginning of it, worked out when it is first asked for."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, i: int) -> int | None:
+        text = self.codec.token[i].decode("latin-1")
+        found = next((self.codec.by_text[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.codec.by_text), None)
+        self[i] = found
+        return found
+
+
 class Memo(dict):
     """Words to packed ids.  When it is full, it becomes the older half and a new one begins."""
 
