@@ -40,7 +40,10 @@ GOOD, NONE, BAD = 1, 0, -1
 #: Words of abuse for the heuristic labellers.
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 QUALITY_VOTES = ("symbols", "capitals", "fragments", "repetition", "diversity", "length")
-TOXIC_VOTES = ("abuse", "abuse_often")
+TOXIC_VOTES = ("abuse", "abuse_share")
+#: Labellers (by place, the table of labels last) whose silence says nothing: labels cover some documents only, and a list
+#: of words finds abuse but no absence of it.
+PARTIAL = {"quality": (len(QUALITY_VOTES),), "toxic": (0, 1, 2)}
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?$#*%&()[]{}<>|\"'-_/\\")] = True
 _LOWER = byte_table(b"", True)
@@ -126,7 +129,7 @@ class Shares:
         out = [by(self.symbols, *high(0.2, 0.05)), by(self.capitals, *high(0.5, 0.2)), by(self.fragments, *high(0.15, 0.05)), by(self.repetition, *high(0.25, 0.1))]
         out.append(np.where(self.n < 30, NONE, by(self.diversity, lambda x: x < 0.3, lambda x: x > 0.5)))
         out.append(np.where(self.n < 3, BAD, np.where(self.n >= 20, GOOD, NONE)))
-        out += [np.where(self.abuse > 0, BAD, NONE), np.where(self.abuse > 1, BAD, np.where(self.abuse > 0, NONE, GOOD))]
+        out += [np.where(self.abuse > 0, BAD, NONE), by(self.abuse / np.maximum(self.n, 1), lambda x: x > 0.005, lambda x: x < 0)]
         return np.stack(out, 1).astype(np.int8)
 
 
@@ -152,14 +155,23 @@ def step_features(shares: Shares, bits: int = BITS) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """The posterior of `good` of each vote pattern."""
+def estimate(patterns: np.ndarray, counts: np.ndarray, partial: tuple[int, ...] = (), trust: float = 0.99, rounds: int = 300) -> np.ndarray:
+    """The posterior of `good` of each vote pattern.
+
+    Where a labeller looks at every document, its vote for nothing says something too.  That of the labellers in `partial` is
+    no evidence, and these begin with as much weight as they have votes on being right so often as `trust` says.
+    """
     good = np.where((patterns == BAD).any(1), 0.1, 0.9)
     one_hot = np.stack([patterns == v for v in (BAD, NONE, GOOD)], 2).astype(np.float64)
+    prior_votes = np.full((2, patterns.shape[1], 3), 0.01)
+    for column in partial:
+        one_hot[:, column, 1] = 0
+        said = (counts * (patterns[:, column] != NONE)).sum()
+        prior_votes[:, column] += said * np.array([[trust, 0, 1 - trust], [1 - trust, 0, trust]])
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good])
         prior = (weight.sum(1) + 1) / (weight.sum() + 2)
-        votes = np.einsum("cp,plv->clv", weight, one_hot) + 0.01
+        votes = np.einsum("cp,plv->clv", weight, one_hot) + prior_votes
         votes /= votes.sum(2, keepdims=True)
         logs = np.log(prior)[:, None] + np.einsum("clv,plv->cp", np.log(votes), one_hot)
         now = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
@@ -172,7 +184,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.
 def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, bits: int = BITS, epochs: int = 30, rate: float = 0.3, decay: float = 3e-3, rare: float = 4.0, seldom: float = 0.01, seed: int = 9) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer of (distinct features, values), by AdaGrad; a feature of less than the share `seldom` of documents, or of fewer than three, has no weight.
 
-    A target of 0 (bad, the rarer one) counts `rare` times as much as one of 1.
+    A document counts by how sure its target is, and one that is rather bad (the rarer kind) `rare` times as much.
     """
     weights, squares, bias, square = np.zeros(1 << bits), np.full(1 << bits, 1e-8), 0.0, 1e-8
     if not len(features):
@@ -183,6 +195,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, bi
     held = often >= max(3, seldom * len(features))
     rows = [(f[held[f]], v[held[f]]) for f, v in features]
     random = np.random.default_rng(seed)
+    sure = (2 * targets - 1) ** 2 * np.where(targets < 0.5, rare, 1.0)
     for _ in range(epochs):
         order = random.permutation(len(rows))
         for at in range(0, len(order), 64):
@@ -191,8 +204,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, bi
             owner = np.repeat(np.arange(len(batch)), sizes)
             f, v = (np.concatenate([rows[i][j] for i in batch]) for j in range(2))
             margin = np.bincount(owner, weights[f] * v, len(batch)) + bias
-            share = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-            off = rare * (1 - targets[batch]) * share - targets[batch] * (1 - share)
+            off = sure[batch] * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - targets[batch])
             own, place = np.unique(f, return_inverse=True)
             grad = np.bincount(place, off[owner] * v) / len(batch) + decay * weights[own]
             squares[own] += grad**2
@@ -263,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             p = tuple(row[c] for c in own)
             known[p] = known.get(p, 0) + row["n"]
         patterns = np.array(list(known), np.int8).reshape(-1, len(own))
-        posterior[name] = dict(zip(known, estimate(patterns, np.array(list(known.values()), np.float64)), strict=True))
+        posterior[name] = dict(zip(known, estimate(patterns, np.array(list(known.values()), np.float64), PARTIAL[name]), strict=True))
     targets = {r["k"]: [posterior[name][tuple(r[c] for c in own)] for name, own in columns.items()] for r in picked}
 
     def run(batches):
