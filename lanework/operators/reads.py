@@ -22,6 +22,20 @@ def category_summary(df: DataFrame, keys: Sequence[str], filled: Column, largest
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(prefix[0]), F.count_if(filled).alias(prefix[1]), F.max(largest).alias(prefix[2]))
 
 
+def one_row(*rows: DataFrame) -> DataFrame:
+    """Frames of one row of numbers each, side by side, by a union and a sum: no join."""
+    names = [c for r in rows for c in r.columns]
+    wide = [r.select(*[F.col(n) if n in r.columns else F.lit(None).cast("bigint").alias(n) for n in names]) for r in rows]
+    out = wide[0]
+    for r in wide[1:]:
+        out = out.unionByName(r)
+    return out.agg(*[F.sum(n).alias(n) for n in names])
+
+
+def row_counts(**frames: DataFrame) -> DataFrame:
+    return one_row(*[f.agg(F.count(F.lit(1)).alias(n)) for n, f in frames.items()])
+
+
 def totals(groups: DataFrame, sums: Sequence[str]) -> DataFrame:
     """How many groups, and sums over them: one row."""
     return groups.agg(F.count(F.lit(1)).alias("groups"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in sums])

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lanework.operators.reads import one_row
+
 
 def patches(rows: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], present: dict[str, Column]) -> DataFrame:
     """One row for each key: each field's value in the last row where it is present, and has_{field}."""
@@ -40,7 +42,7 @@ def summary(rows: DataFrame, result: Column, event: str, next_version: DataFrame
     """rows_seen, rows_with_result, events_seen, created, updated: one row."""
     seen = rows.agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(result).alias("rows_with_result"), F.count_distinct(event).alias("events_seen"))
     done = next_version.agg(F.count_if(F.col("action") == "created").alias("created"), F.count_if(F.col("action") == "updated").alias("updated"))
-    return seen.join(F.broadcast(done))  # two single rows
+    return one_row(seen, done)
 
 
 def allocated_names(rows: DataFrame, taken: DataFrame, base: str, order: str, name: str, most: int = 100) -> DataFrame:

@@ -31,8 +31,7 @@ def event_category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM orders) AS events, (SELECT count(*) FROM lineitem) AS results")
 def home_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("events"))
-    return events.join(F.broadcast(table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("results"))))  # single rows
+    return reads.row_counts(events=table(spark, sf_dir, "orders"), results=table(spark, sf_dir, "lineitem"))
 
 
 _EVENT = "o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS event_date, o_orderpriority AS title"

@@ -9,7 +9,7 @@ from lanework.functions import numbers, text
 from lanework.operators import upsert, windows
 from lanework.operators.reads import present
 from lanework.plans.registry import query
-from lanework.session import table
+from lanework.session import scratch, table
 from lanework.sources import files, html, sinks
 
 
@@ -255,23 +255,9 @@ def name_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.allocated_names(parts, none, "base", "p_partkey", "unique_name").select("p_partkey", "unique_name")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder for this run's files: the shared one of the cluster, else a temporary one of this machine (local mode)."""
-    import atexit
-    import shutil
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lanework-")
-        atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT l_orderkey::VARCHAR AS l_orderkey, l_linenumber::VARCHAR AS l_linenumber, l_partkey::VARCHAR AS l_partkey, l_returnflag || ',\"' || l_linestatus AS flags, '' AS missing FROM lineitem")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields, path = ["l_orderkey", "l_linenumber", "l_partkey", "flags", "missing"], _scratch(spark, "csv")
+    fields, path = ["l_orderkey", "l_linenumber", "l_partkey", "flags", "missing"], scratch(spark, "csv")
     rows = table(spark, sf_dir, "lineitem").withColumn("flags", F.concat("l_returnflag", F.lit(',"'), "l_linestatus"))
     sinks.write_csv(rows, path, fields)
     return files.read_csv(spark, path, fields)
@@ -279,7 +265,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, count(*) AS row_count, CAST(sum(l_linenumber) AS BIGINT) AS lane_sum, CAST(sum(l_partkey) AS BIGINT) AS part_sum FROM lineitem GROUP BY 1")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "jsonl")
+    path = scratch(spark, "jsonl")
     payload = sinks.nested(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"])
     sinks.write_json(payload, path)
     back = files.read_json_lines(spark, path, payload.schema)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +36,23 @@ def workers_find_package(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in `spark.checkpoint.dir`, which all executors share.
+
+    Only a local session without the setting (as in tests) gets a temporary folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = tempfile.mkdtemp(prefix="lanework-")
+            atexit.register(shutil.rmtree, _LOCAL["dir"], True)
+        base = _LOCAL["dir"]
+    return f"{base.rstrip('/')}/lanework-{name}-{uuid.uuid4().hex}"

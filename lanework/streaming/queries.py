@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.plans.registry import query
-from lanework.plans.texts import _scratch
-from lanework.session import table
+from lanework.session import scratch, table
 from lanework.streaming import incremental
 
 
 @query("SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY ALL")
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, checkpoint = _scratch(spark, "stream"), _scratch(spark, "stream-checkpoint")
+    target, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-checkpoint")
     schema = table(spark, sf_dir, "events").schema
 
     def reduced(batch: DataFrame) -> DataFrame:
