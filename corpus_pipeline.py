@@ -23,7 +23,7 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects, as badly made or as abusive, go."""
     models = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return unwrapped(quality.score(wrapped(docs), models, keep=[ROW]).where("keep_document"))
+    return unwrapped(quality.score(wrapped(docs), models, keep=[ROW]).where("keep_document"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are taken out of the texts; a document that was nothing else goes."""
-    rows = substring.repeats(wrapped(docs)).where("n_words = 0 or n_removed < n_words")
-    changed, old = F.col("n_removed") > 0, F.col(f"`{ROW}`")
-    new = old.withField("text", F.when(changed, F.col("kept")).otherwise(old["text"]))
+    rows = substring.repeats(wrapped(docs, with_text=False)).where("n_words = 0 or n_removed < n_words")
+    changed, new = F.col("n_removed") > 0, {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new = new.withField("n_chars", F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(old["n_chars"]))
-    return unwrapped(rows.select(new.alias(ROW))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"`{ROW}`")["n_chars"])
+    return unwrapped(rows, docs.columns, **new)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +45,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     rows = wrapped(docs)
     index = decontaminate.build_index(rows)
     found = decontaminate.find_exact(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return unwrapped(decontaminate.with_columns(index, found.where(F.size("spans") == 0), rows.schema, [ROW]))
+    return unwrapped(decontaminate.with_columns(index, found.where(F.size("spans") == 0), rows.schema, [ROW]), docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

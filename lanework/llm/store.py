@@ -7,42 +7,22 @@ one small binary value, with any columns of any type and name.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.llm.words import CHUNK_BYTES
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`.  Only a local session without the setting (as in tests) gets a folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="lanework-")
-        atexit.register(shutil.rmtree, _LOCAL["dir"], True)
-    return _LOCAL["dir"]
-
+from lanework.session import scratch
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written to the shared folder and read again: lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lanework-{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -89,11 +69,11 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_B
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def segments(df: DataFrame, text: str, name: str) -> DataFrame:
-    """(seg, blob): all rows and columns of df as segments, in the shared folder."""
+def segments(df: DataFrame, text: str, name: str, most: int = CHUNK_BYTES) -> DataFrame:
+    """(seg, blob): all rows and columns of df as segments of about `most` bytes of text, in the shared folder."""
 
     def run(batches):
-        for seg, table in zip(numbered(), gathered(batches, text), strict=False):
+        for seg, table in zip(numbered(), gathered(batches, text, most), strict=False):
             yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([pack(table)], pa.binary())], ["seg", "blob"])
 
     numbered = task_numbers
@@ -104,12 +84,15 @@ def segments(df: DataFrame, text: str, name: str) -> DataFrame:
 ROW = "\1row"
 
 
-def wrapped(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), F.col(f"`{text}`").alias(text))
+def wrapped(df: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
+    """The rows, with the text or without it, and the text."""
+    held = [F.col(f"`{c}`") for c in df.columns if with_text or c != text]
+    return df.select(F.struct(*held, F.lit(None).cast("byte").alias("\1")).alias(ROW), F.col(f"`{text}`").alias(text))
 
 
-def unwrapped(df: DataFrame) -> DataFrame:
-    return df.select(f"`{ROW}`.*")
+def unwrapped(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The rows' columns in this order; those of `new` as they are given."""
+    return df.select(*[(new[c] if c in new else F.col(f"`{ROW}`")[c]).alias(c) for c in columns])
 
 
 def giving_way(names: list[str], outputs: list[str]) -> list[str]:

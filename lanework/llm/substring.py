@@ -35,7 +35,9 @@ from lanework.llm.words import PLAIN, Words, find_words, sliding_argmin, window_
 WINDOW = 35
 SEED = 12
 #: Segments for each bucket: a bucket gets about as many anchors as so many segments have.
-SEGMENTS_A_BUCKET = 8
+SEGMENTS_A_BUCKET = 16
+#: Text in a segment: what a worker holds for it is some thirty times as much.
+SEGMENT_BYTES = 2 << 20
 
 MESSAGE = "bucket long, seg long, part binary"
 REPLY = "seg long, bucket long, bits binary"
@@ -177,8 +179,10 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, seed: int =
         raise ValueError("a seed is no longer than a window")
     spark, names = df.sparkSession, giving_way(df.columns, [f.name for f in fields])
     bounded_batches(spark)
-    schema = df.select(*[F.col(f"`{n}`") for n in names]).schema
-    own = segments(df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias("\1text")), "\1text", "substring")
+    schema = df.select(*[F.col(f"`{n}`").cast("string").alias(n) if n == text else F.col(f"`{n}`") for n in names]).schema
+    # the text is held once: as its own column where that passes on, else beside the others
+    held = [F.col(f"`{n}`") for n in names if n != text]
+    own = segments(df.select(*held, F.col(f"`{text}`").cast("string").alias("\1text")), "\1text", "substring", SEGMENT_BYTES)
     n_segments = own.count()
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_segments // SEGMENTS_A_BUCKET, 1)
     finish = result or _kept
@@ -214,7 +218,7 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, seed: int =
                 np.add.at(cover, hot + window, -1)
                 removed = np.cumsum(cover)[:-1] > 0
                 new = finish(table, runs.words, removed)
-                for b in pa.table([*[table.column(n) for n in names], *new], names=[*names, *[f.name for f in fields]]).combine_chunks().to_batches():
+                for b in pa.table([*[table.column("\1text" if n == text else n) for n in names], *new], names=[*names, *[f.name for f in fields]]).combine_chunks().to_batches():
                     yield b
 
     def answers(messages: DataFrame, kind: np.dtype, name: str) -> DataFrame:
