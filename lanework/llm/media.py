@@ -204,7 +204,7 @@ MAGIC: list[tuple[bytes, int, Callable[[bytes, int], tuple[str, int] | None]]] =
     (b"\xff\xd8\xff", 0, _jpeg),
     (b"BM", 0, _bmp),
     (b".snd", 0, _au),
-    (b"OggS\0\2", 0, _ogg),
+    (b"OggS\0", 0, _ogg),
     (b"ftyp", 4, _mp4),
     (b"%PDF-", 0, _pdf),
     (b"\x1f\x8b\x08", 0, _gzip),
