@@ -5,7 +5,7 @@
    abusive (`toxic`).
 2. Estimate: expectation-maximisation (Dawid and Skene, 1979) over the counts of all vote patterns, of which there are
    3^labellers at most whatever the corpus, estimates how each labeller votes on good and on bad documents, and so each
-   pattern's posterior.
+   pattern's posterior.  Patterns without a label take after labelled ones with the same votes otherwise.
 3. Train: the posteriors of a bounded sample of documents (SAMPLE, those of least hash, labelled ones first) are the soft
    targets of a linear scorer over hashed features: words, their beginnings and ends, and steps of shares.
 4. Score: one pass over all documents.
@@ -41,9 +41,10 @@ GOOD, NONE, BAD = 1, 0, -1
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 QUALITY_VOTES = ("symbols", "capitals", "fragments", "repetition", "diversity", "length")
 TOXIC_VOTES = ("abuse", "abuse_share")
-#: Labellers (by place, the table of labels last) whose silence says nothing: labels cover some documents only, and a list
-#: of words finds abuse but no absence of it.
-PARTIAL = {"quality": (len(QUALITY_VOTES),), "toxic": (0, 1, 2)}
+#: How many times as much a rather bad document counts: abuse is rarer, and harder to tell.
+RARE = {"quality": 2.0, "toxic": 4.0}
+#: How often labellers are right, to begin with: heuristics, and the table of labels.
+TRUST = 0.95, 0.99
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?$#*%&()[]{}<>|\"'-_/\\")] = True
 _LOWER = byte_table(b"", True)
@@ -122,14 +123,9 @@ class Shares:
     def votes(self) -> np.ndarray:
         """A column for each of QUALITY_VOTES, then of TOXIC_VOTES."""
 
-        def by(x, bad, good):
-            return np.where(bad(x), BAD, np.where(good(x), GOOD, NONE))
-
-        high = lambda a, b: (lambda x: x > a, lambda x: x < b)
-        out = [by(self.symbols, *high(0.2, 0.05)), by(self.capitals, *high(0.5, 0.2)), by(self.fragments, *high(0.15, 0.05)), by(self.repetition, *high(0.25, 0.1))]
-        out.append(np.where(self.n < 30, NONE, by(self.diversity, lambda x: x < 0.3, lambda x: x > 0.5)))
-        out.append(np.where(self.n < 3, BAD, np.where(self.n >= 20, GOOD, NONE)))
-        out += [np.where(self.abuse > 0, BAD, NONE), by(self.abuse / np.maximum(self.n, 1), lambda x: x > 0.005, lambda x: x < 0)]
+        bad = [self.symbols > 0.2, self.capitals > 0.5, self.fragments > 0.15, self.repetition > 0.25, (self.n >= 30) & (self.diversity < 0.3), self.n < 3]
+        bad += [self.abuse > 0, self.abuse > 0.005 * self.n]
+        out = [np.where(x, BAD, NONE) for x in bad]
         return np.stack(out, 1).astype(np.int8)
 
 
@@ -155,19 +151,20 @@ def step_features(shares: Shares, bits: int = BITS) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, partial: tuple[int, ...] = (), trust: float = 0.99, rounds: int = 300) -> np.ndarray:
-    """The posterior of `good` of each vote pattern.
+def estimate(patterns: np.ndarray, counts: np.ndarray, trust: tuple[float, float] = TRUST, rounds: int = 300) -> np.ndarray:
+    """The posterior of `good` of each vote pattern; the last column is the table of labels.
 
-    Where a labeller looks at every document, its vote for nothing says something too.  That of the labellers in `partial` is
-    no evidence, and these begin with as much weight as they have votes on being right so often as `trust` says.
+    A heuristic finds one kind of badness, so its silence is no evidence; nor is that of labels, which cover some documents.
+    Each labeller begins with as much weight as it has votes on being right as often as `trust` says.
     """
     good = np.where((patterns == BAD).any(1), 0.1, 0.9)
     one_hot = np.stack([patterns == v for v in (BAD, NONE, GOOD)], 2).astype(np.float64)
+    one_hot[:, :, 1] = 0
     prior_votes = np.full((2, patterns.shape[1], 3), 0.01)
-    for column in partial:
-        one_hot[:, column, 1] = 0
+    for column in range(patterns.shape[1]):
+        right = trust[column == patterns.shape[1] - 1]
         said = (counts * (patterns[:, column] != NONE)).sum()
-        prior_votes[:, column] += said * np.array([[trust, 0, 1 - trust], [1 - trust, 0, trust]])
+        prior_votes[:, column] += said * np.array([[right, 0, 1 - right], [1 - right, 0, right]])
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good])
         prior = (weight.sum(1) + 1) / (weight.sum() + 2)
@@ -181,10 +178,28 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, partial: tuple[int, ...]
     return good
 
 
-def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, bits: int = BITS, epochs: int = 30, rate: float = 0.3, decay: float = 3e-3, rare: float = 4.0, seldom: float = 0.01, seed: int = 9) -> tuple[np.ndarray, float]:
+def pooled(patterns: np.ndarray, counts: np.ndarray, good: np.ndarray, own: float = 20.0) -> np.ndarray:
+    """Posteriors where patterns without a label (the last column) take after those that only a label tells apart from them.
+
+    Heuristics are not as independent as the estimate takes them to be; labelled documents with just their votes know
+    better.  The pattern's own posterior counts as much as `own` documents.
+    """
+    out = good.copy()
+    labelled = patterns[:, -1] != NONE
+    peers: dict[bytes, np.ndarray] = {}
+    for p, n, g in zip(patterns[labelled], counts[labelled], good[labelled], strict=True):
+        peers[p[:-1].tobytes()] = peers.get(p[:-1].tobytes(), np.zeros(2)) + (n, n * g)
+    for i in np.flatnonzero(~labelled):
+        n, g = peers.get(patterns[i, :-1].tobytes(), np.zeros(2))
+        out[i] = (own * good[i] + g) / (own + n)
+    return out
+
+
+def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, voted: np.ndarray | None = None, bits: int = BITS, epochs: int = 30, rate: float = 0.3, decay: float = 3e-3, rare: float = 2.0, seldom: float = 0.01, seed: int = 9) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer of (distinct features, values), by AdaGrad; a feature of less than the share `seldom` of documents, or of fewer than three, has no weight.
 
     A document counts by how sure its target is, and one that is rather bad (the rarer kind) `rare` times as much.
+    Those that no labeller voted on count a tenth.
     """
     weights, squares, bias, square = np.zeros(1 << bits), np.full(1 << bits, 1e-8), 0.0, 1e-8
     if not len(features):
@@ -195,8 +210,9 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, bi
     held = often >= max(3, seldom * len(features))
     rows = [(f[held[f]], v[held[f]]) for f, v in features]
     random = np.random.default_rng(seed)
-    sure = (2 * targets - 1) ** 2 * np.where(targets < 0.5, rare, 1.0)
-    for _ in range(epochs):
+    sure = (2 * targets - 1) ** 2 * np.where(targets < 0.5, rare, 1.0) * (1.0 if voted is None else np.where(voted, 1.0, 0.1))
+    mean, mean_bias = np.zeros(1 << bits), 0.0
+    for epoch in range(epochs):
         order = random.permutation(len(rows))
         for at in range(0, len(order), 64):
             batch = order[at : at + 64]
@@ -211,7 +227,10 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, bi
             weights[own] -= rate * grad / np.sqrt(squares[own])
             square += off.mean() ** 2
             bias -= rate * off.mean() / np.sqrt(square)
-    return weights, bias
+        if epoch >= epochs // 2:  # the mean of the later epochs, as single ones differ
+            mean += weights / (epochs - epochs // 2)
+            mean_bias += bias / (epochs - epochs // 2)
+    return mean, float(mean_bias)
 
 
 def features_of(texts: pa.Array, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -275,8 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             p = tuple(row[c] for c in own)
             known[p] = known.get(p, 0) + row["n"]
         patterns = np.array(list(known), np.int8).reshape(-1, len(own))
-        posterior[name] = dict(zip(known, estimate(patterns, np.array(list(known.values()), np.float64), PARTIAL[name]), strict=True))
-    targets = {r["k"]: [posterior[name][tuple(r[c] for c in own)] for name, own in columns.items()] for r in picked}
+        seen = np.array(list(known.values()), np.float64)
+        posterior[name] = dict(zip(known, pooled(patterns, seen, estimate(patterns, seen)), strict=True))
+    targets = {r["k"]: [(posterior[name][p := tuple(r[c] for c in own)], any(p)) for name, own in columns.items()] for r in picked}
 
     def run(batches):
         for whole in batches:
@@ -288,7 +308,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = keyed.join(F.broadcast(chosen), "k").select("k", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "k long, f binary, v binary").dropDuplicates(["k"])
     got = {r["k"]: (np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rows.toLocalIterator()}  # bounded by `sample`
     order = sorted(got)
-    return {name: train([got[k] for k in order], np.array([targets[k][i] for k in order]), bits) for i, name in enumerate(columns)}
+    told = np.array([targets[k] for k in order]).reshape(-1, len(columns), 2)
+    return {name: train([got[k] for k in order], told[:, i, 0], told[:, i, 1] > 0, bits, rare=RARE[name]) for i, name in enumerate(columns)}
 
 
 def score(docs: DataFrame, models: dict[str, tuple[np.ndarray, float]], text: str = "text", keep: list[str] | None = None, bits: int = BITS) -> DataFrame:
