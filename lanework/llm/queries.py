@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanework.llm import bpe, decontaminate, lm, media, neardup, quality, shards, substring, token_counts, url_rules
+from lanework.llm import bpe, decontaminate, lm, media, neardup, oracles, quality, shards, substring, token_counts, url_rules
 
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -113,4 +113,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_counts,
     )
 }
-ORACLES: dict[str, str] = {"op4_url_rules": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_benchmark_decontamination": oracles.DECONTAMINATION, "op4_url_rules": OP4_SQL, "op5_substring_dedup": oracles.SUBSTRING, "op7_ngram_jaccard_join": oracles.JACCARD}
