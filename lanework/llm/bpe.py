@@ -21,7 +21,6 @@ repeated rows stay; other columns pass unchanged, but one with the name of an ou
 from __future__ import annotations
 
 import base64
-import hashlib
 from functools import lru_cache
 
 import ahocorasick
@@ -158,11 +157,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def digest(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
-
-
 def _added(df: DataFrame, of: str, kind: str, fields: list[T.StructField]) -> tuple[DataFrame, list[str], T.StructType]:
     """df with the operator's input last, the names of the columns that pass, and the result's schema."""
     bounded_batches(df.sparkSession)

@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
-1. Vote: heuristic labellers look at every document and vote good, bad or nothing; so does the table of labels, which
-   covers some documents.  Labellers overlap and err.  There are two questions: is it well made (`quality`), is it
+1. Vote: heuristic labellers look at every document and vote bad or nothing; the table of labels, which covers some
+   documents, votes good or bad.  Labellers overlap and err.  There are two questions: is it well made (`quality`), is it
    abusive (`toxic`).
 2. Estimate: expectation-maximisation (Dawid and Skene, 1979) over the counts of all vote patterns, of which there are
    3^labellers at most whatever the corpus, estimates how each labeller votes on good and on bad documents, and so each
@@ -22,7 +22,6 @@ the name of a result gives way to it.
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -329,7 +328,3 @@ def score(docs: DataFrame, models: dict[str, tuple[np.ndarray, float]], text: st
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(good), pa.array(1 - clean), pa.array(kept)], schema.names)
 
     return source.mapInArrow(run, schema)
-
-
-def all_patterns(labellers: int) -> np.ndarray:
-    return np.array(list(product((BAD, NONE, GOOD), repeat=labellers)), np.int8)
