@@ -37,9 +37,8 @@ def backends(attempts: DataFrame, backend: str, success: Column) -> DataFrame:
     return got.withColumn("ratio", success_ratio(F.col("success"), F.col("failure")))
 
 
-def preference(stats: DataFrame, position: Column) -> list[Column]:
+def preference(position: Column) -> list[Column]:
     """The order of backends to try: by ratio, by successes, then as they stood."""
-    del stats
     return [F.desc("ratio"), F.desc("success"), position.asc()]
 
 

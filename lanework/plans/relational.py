@@ -129,7 +129,7 @@ def backend_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stats = quality.backends(table(spark, sf_dir, "events"), "user_id", F.col("event_type") != "error")
     # a ranking over backends, of which there are few: one row for each, after the aggregation
-    return stats.select("user_id", "success", "failure", F.row_number().over(Window.orderBy(*quality.preference(stats, F.col("user_id")))).cast("bigint").alias("place"))
+    return stats.select("user_id", "success", "failure", F.row_number().over(Window.orderBy(*quality.preference(F.col("user_id")))).cast("bigint").alias("place"))
 
 
 @query("""SELECT user_id, arg_min(value, event_id) FILTER (WHERE value > 10) AS first_time, arg_min(event_id, event_id) FILTER (WHERE event_type = 'purchase') AS first_rank
