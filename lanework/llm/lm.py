@@ -4,16 +4,18 @@ The model is log-bilinear (Mnih and Hinton, 2007) over classes of tokens: the sc
 product of a context vector and a target vector, plus a bias.  The classes are the end of a text, the most frequent words,
 each its own class, and shapes of all other words (last byte, length, ASCII or not).  It is trained in numpy by
 noise-contrastive estimation (Gutmann and Hyvarinen, 2010), which needs no normaliser; the normalisers are worked out
-afterwards, by batched matrix products over all classes, so token log-probabilities are exactly normalised.  A word of a
+afterwards, by tasks for blocks of contexts over all classes, so token log-probabilities are exactly normalised.  A word of a
 shape has the share of its count there, by absolute discounting, and the discounted rest is for words never seen: the
 probabilities of all known words and one unknown word for each shape add up to one.
 
-Counts cover all training documents: words are counted exactly, whatever their number, and so are pairs of classes,
-from which the model is trained.
+Counts cover all training documents: words are counted exactly, whatever their number.  Training goes over every pair of
+all training documents once, after a first model from a sample.
 
-Scale: words are counted in each task and again before the shuffle.  The most frequent HEAD words, a fixed number, are
-sent to the workers; every other word of a document meets its count in a join, as one row for each document and word.
-Pair counts are classes squared at most, whatever the corpus, and each task sends what it has of them once.
+Scale: words are counted in each task and again before the shuffle.  Words of their own class are OWN_GROWTH times the
+square root of the training tokens (OWN_CLASS at least), so work a token stays the same.  They, or the HEAD most frequent
+words if these are more, are sent to the workers; every other word of a document meets its count in a join, as one row for
+each document and word.  Tasks train from the same model, in ROUNDS rounds, and send the rows they updated once a round.
+Fixed at every size: the width of vectors, one token of context, and the shapes.
 
 Defined results: null and empty texts have one token, the end; a null id counts as the empty text in the split; repeated
 rows each get their row; without training documents every token is unknown and has base probability 1 and the model's
@@ -23,24 +25,33 @@ a column to keep that has the name of a result gives way to it.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanework.llm.store import bounded_batches, giving_way, task_numbers, written
 from lanework.llm.words import PLAIN_LOWER, Words, chunks, find_words, lexicon_bytes
 
-#: Words sent to workers with their counts; of these, words that are classes of their own.
+#: Words sent to workers with their counts, at least; of these, words that are classes of their own, at least.
 HEAD = 1 << 17
 OWN_CLASS = 1500
+#: How many words are classes of their own for the square root of the training tokens.
+OWN_GROWTH = 8
 WIDTH = 32
+#: Steps on a sample, before the pass over all pairs, and the rounds of that pass.
 STEPS = 3000
+ROUNDS = 4
 BATCH, NOISE = 1024, 192
+#: Rows of the model's tables that meet in a task.
+ROWS_A_BLOCK = 1024
 #: Rows of words that a task counts before it passes them on.
 HELD_ROWS = 1_500_000
 REST = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("shape", T.IntegerType()), T.StructField("n", T.LongType())]))
@@ -137,94 +148,231 @@ class Classes:
         return contexts, targets, offsets
 
 
-def count_pairs(texts: DataFrame, classes: Classes) -> np.ndarray:
-    """How often each class follows each class, over all texts: a matrix of fixed size."""
-    n = classes.n
-
-    def run(batches):
-        counts = np.zeros(n * n, np.int64)
-        for whole in batches:
-            for batch in chunks(whole, "text"):
-                contexts, targets, _ = classes.stream(find_words(batch.column("text"), PLAIN_LOWER))
-                code, times = np.unique(contexts * n + targets, return_counts=True)
-                counts[code] += times
-        matrix = counts.reshape(n, n)
-        rows = np.flatnonzero(matrix.any(1))
-        packed = []
-        for r in rows.tolist():
-            own = np.flatnonzero(matrix[r])
-            packed.append(own.astype("<u4").tobytes() + matrix[r][own].astype("<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(packed, pa.binary())], ["context", "packed"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(n, np.int64)
-        for blob in table.column("packed").to_pylist():
-            k = len(blob) // 12
-            total[np.frombuffer(blob, "<u4", k)] += np.frombuffer(blob, "<u8", k, 4 * k).astype(np.int64)
-        return pa.table([table.column("context").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["context", "counts"])
-
-    out = np.zeros((n, n), np.int64)
-    for row in texts.mapInArrow(run, "context int, packed binary").groupBy("context").applyInArrow(add, "context int, counts binary").toLocalIterator():
-        out[row["context"]] = np.frombuffer(row["counts"], np.int64)
-    return out
-
-
 @dataclass
 class LogBilinear:
     contexts: np.ndarray
     targets: np.ndarray
     bias: np.ndarray
 
+    def normalisers(self, a: int, b: int, wide: int = 8192) -> np.ndarray:
+        """ln of the sum over all targets, of contexts a to b; targets in blocks, so memory is bounded."""
+        r = self.contexts[a:b]
+        out = np.full(len(r), -np.inf)
+        for at in range(0, len(self.bias), wide):
+            s = r @ self.targets[at : at + wide].T + self.bias[at : at + wide]
+            top = s.max(1, keepdims=True)
+            out = np.logaddexp(out, top[:, 0] + np.log(np.exp(s - top).sum(1, dtype=np.float64)))
+        return out
+
     def log_probabilities(self, block: int = 256) -> np.ndarray:
-        """ln P(target | context) of all classes, normalised, in blocks of contexts."""
+        """ln P(target | context) of all classes, normalised, in blocks of contexts: for few classes."""
         out = np.empty((len(self.contexts), len(self.bias)), np.float32)
         for at in range(0, len(out), block):
-            s = self.contexts[at : at + block] @ self.targets.T + self.bias
-            top = s.max(1, keepdims=True)
-            out[at : at + block] = s - top - np.log(np.exp(s - top).sum(1, dtype=np.float64, keepdims=True)).astype(np.float32)
+            out[at : at + block] = self.contexts[at : at + block] @ self.targets.T + self.bias - self.normalisers(at, at + block)[:, None]
         return out
 
+    def of_pairs(self, contexts: np.ndarray, targets: np.ndarray, normalisers: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+        """ln P(target | context) of each pair."""
+        out = np.empty(len(contexts))
+        for at in range(0, len(out), block):
+            c, t = contexts[at : at + block], targets[at : at + block]
+            out[at : at + block] = np.einsum("ij,ij->i", self.contexts[c], self.targets[t]) + self.bias[t] - normalisers[c]
+        return out
 
-def train(pairs: np.ndarray, width: int = WIDTH, steps: int = STEPS, rate: float = 0.1, seed: int = 3) -> LogBilinear:
-    """By noise-contrastive estimation: pairs from the counts, noise from the classes' own frequencies."""
-    n = len(pairs)
-    random = np.random.default_rng(seed)
-    noise = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * n)
-    model = LogBilinear(random.normal(0, 0.1, (n, width)).astype(np.float32), random.normal(0, 0.1, (n, width)).astype(np.float32), np.log(noise).astype(np.float32))
-    if not pairs.any():
-        return model
-    flat = np.flatnonzero(pairs)
-    upto = np.cumsum(pairs.ravel()[flat])
-    noise_upto = np.cumsum(noise)
-    shift = np.log(NOISE * noise).astype(np.float32)
-    squares = [np.full_like(x, 1e-6) for x in (model.contexts, model.targets, model.bias)]
-    for step in range(steps):
-        code = flat[np.searchsorted(upto, random.integers(0, upto[-1], BATCH), "right")]
-        context, target = np.divmod(code, n)
-        fake = np.minimum(np.searchsorted(noise_upto, random.random(NOISE) * noise_upto[-1], "right"), n - 1)
+
+@dataclass
+class Learner:
+    """A model on its way: by noise-contrastive estimation, noise from the classes' own frequencies, with AdaGrad (a rate for each vector).
+
+    squares: the sums of contexts' and of targets' mean squared steps.
+    """
+
+    model: LogBilinear
+    squares: list[np.ndarray]
+    noise: np.ndarray
+
+    @staticmethod
+    def begun(frequency: np.ndarray, width: int = WIDTH, seed: int = 3) -> Learner:
+        n = len(frequency)
+        random = np.random.default_rng(seed)
+        noise = (frequency + 0.5) / (frequency.sum() + 0.5 * n)
+        model = LogBilinear(random.normal(0, 0.1, (n, width)).astype(np.float32), random.normal(0, 0.1, (n, width)).astype(np.float32), np.log(noise).astype(np.float32))
+        return Learner(model, [np.full(n, 1e-6, np.float32) for _ in range(2)], noise)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts, and targets with their bias."""
+        return self.model.contexts, np.column_stack([self.model.targets, self.model.bias])
+
+    def copied(self) -> Learner:
+        m = self.model
+        return Learner(LogBilinear(m.contexts.copy(), m.targets.copy(), m.bias.copy()), [x.copy() for x in self.squares], self.noise)
+
+    def start(self, random: np.random.Generator) -> None:
+        self.random, self.upto = random, np.cumsum(self.noise)
+        self.shift = np.log(NOISE * self.noise).astype(np.float32)
+        self.updates = [np.zeros(len(self.noise), np.int64) for _ in range(2)]  # of contexts, of targets
+
+    def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
+        model = self.model
+        fake = np.minimum(np.searchsorted(self.upto, self.random.random(NOISE) * self.upto[-1], "right"), len(self.upto) - 1)
         r, q, f = model.contexts[context], model.targets[target], model.targets[fake]
-        true_off = 1 / (1 + np.exp(-((r * q).sum(1) + model.bias[target] - shift[target]))) - 1
-        fake_off = 1 / (1 + np.exp(-(r @ f.T + model.bias[fake] - shift[fake])))
+        true_off = 1 / (1 + np.exp(-((r * q).sum(1) + model.bias[target] - self.shift[target]))) - 1
+        fake_off = 1 / (1 + np.exp(-(r @ f.T + model.bias[fake] - self.shift[fake])))
         grad_r = true_off[:, None] * q + fake_off @ f
         rows = np.concatenate([target, fake])
         grad_q = np.concatenate([true_off[:, None] * r, fake_off.T @ r])
         grad_b = np.concatenate([true_off, fake_off.sum(0)])
-        slow = rate * (1 - step / steps) + 0.005
-        for x, s, at, g in ((model.contexts, squares[0], context, grad_r), (model.targets, squares[1], rows, grad_q), (model.bias, squares[2], rows, grad_b)):
+        for k, (at, x, g) in enumerate(((context, model.contexts, grad_r), (rows, model.targets, grad_q))):
             order = np.argsort(at, kind="stable")
-            own, first = np.unique(at[order], return_index=True)
+            sorted_at = at[order]
+            first = np.flatnonzero(np.append(True, sorted_at[1:] != sorted_at[:-1]))
+            own = sorted_at[first]
+            self.updates[k][own] += 1
             total = np.add.reduceat(g[order], first)
-            s[own] += total**2
-            x[own] -= slow * total / np.sqrt(s[own])
-    return model
+            self.squares[k][own] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+            slow = (rate / np.sqrt(self.squares[k][own])).astype(np.float32)
+            x[own] -= slow[:, None] * total
+            if k:
+                model.bias[own] -= slow * np.add.reduceat(grad_b[order], first)
+
+
+def _pairs(classes: Classes, batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for whole in batches:
+        for batch in chunks(whole, "text"):
+            contexts, targets, _ = classes.stream(find_words(batch.column("text"), PLAIN_LOWER))
+            yield contexts, targets
+
+
+def begin(texts: DataFrame, classes: Classes, frequency: np.ndarray, steps: int = STEPS, rate: float = 0.1, seed: int = 3) -> Learner:
+    """A first model that all tasks go on from, so that their vectors agree: `steps` steps on a sample of texts of about as many pairs."""
+    learner = Learner.begun(frequency, seed=seed)
+    share = max(1, int(frequency.sum()) // max(steps * BATCH, 1))
+
+    def run(batches):
+        for contexts, targets in _pairs(classes, batches):
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack([contexts, targets]).astype("<i4").tobytes()], pa.binary())], ["pairs"])
+
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(share)) == 0)
+    held = [np.frombuffer(r["pairs"], "<i4").reshape(2, -1) for r in some.mapInArrow(run, "pairs binary").toLocalIterator()]  # about steps * BATCH pairs
+    learner.start(random := np.random.default_rng(seed))
+    if held:
+        contexts, targets = np.concatenate(held, 1)
+        for step in range(steps):
+            at = random.integers(0, len(contexts), BATCH)
+            learner.step(contexts[at], targets[at], rate * (1 - step / steps) + 0.005)
+    return learner
+
+
+def one_round(texts: DataFrame, classes: Classes, learner: Learner, number: int, rate: float, seed: int = 3) -> int:
+    """Each task goes over all pairs of its texts once, from the same model; then a row's mean, by how often each task updated it.
+
+    Returns the number of pairs that were gone over.  A task passes on how it changed the rows it updated, in half precision;
+    rows of all tasks meet in blocks.
+    """
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast((classes, learner))
+    width, block = learner.model.contexts.shape[1], ROWS_A_BLOCK
+
+    def run(batches):
+        kinds, begun = sent.value
+        task = TaskContext.get().partitionId()
+        own = begun.copied()
+        own.start(np.random.default_rng([seed, number, task]))
+        done, left = 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for contexts, targets in _pairs(kinds, batches):
+            contexts, targets = np.append(left[0], contexts), np.append(left[1], targets)
+            order = own.random.permutation(len(contexts))
+            whole = len(order) // BATCH * BATCH
+            for at in range(0, whole, BATCH):
+                own.step(contexts[order[at : at + BATCH]], targets[order[at : at + BATCH]], rate)
+            done += whole
+            left = contexts[order[whole:]], targets[order[whole:]]
+        if len(left[0]):
+            own.step(*left, rate)
+            done += len(left[0])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (-1, 0, task)] + [pa.array([int(done).to_bytes(8, "little")], pa.binary())], ["side", "block", "task", "packed"])
+        for side, (x, before) in enumerate(zip(own.tables(), begun.tables(), strict=True)):
+            rows = np.flatnonzero(own.updates[side])
+            cut = np.searchsorted(rows, np.arange(0, len(x) + block, block))
+            for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if a < b:
+                    r = rows[a:b]
+                    blob = (r - i * block).astype("<i4").tobytes() + own.updates[side][r].astype("<f4").tobytes()
+                    blob += (own.squares[side][r] - begun.squares[side][r]).astype("<f4").tobytes() + (x[r] - before[r]).astype("<f2").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (side, i, task)] + [pa.array([blob], pa.binary())], ["side", "block", "task", "packed"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("task")  # sums in one order, whenever tasks end
+        side, blobs = table.column("side")[0].as_py(), table.column("packed").to_pylist()
+        if side < 0:
+            out = sum(int.from_bytes(b, "little") for b in blobs).to_bytes(8, "little")
+        else:
+            wide = width + side
+            weight, s, x = np.zeros(block), np.zeros(block), np.zeros((block, wide))
+            for blob in blobs:
+                k = len(blob) // (12 + 2 * wide)
+                r, w = np.frombuffer(blob, "<i4", k), np.frombuffer(blob, "<f4", k, 4 * k)
+                weight[r] += w
+                s[r] += np.frombuffer(blob, "<f4", k, 8 * k)
+                x[r] += w[:, None] * np.frombuffer(blob, "<f2", k * wide, 12 * k).reshape(k, wide)
+            r = np.flatnonzero(weight)
+            out = r.astype("<i4").tobytes() + s[r].astype("<f4").tobytes() + (x[r] / weight[r, None]).astype("<f4").tobytes()
+        return pa.table([table.column("side").slice(0, 1), table.column("block").slice(0, 1), pa.array([out], pa.binary())], names=["side", "block", "packed"])
+
+    pairs, m = 0, learner.model
+    made = texts.mapInArrow(run, "side int, block int, task int, packed binary").groupBy("side", "block").applyInArrow(mean, "side int, block int, packed binary")
+    for row in made.toLocalIterator():
+        side, blob = row["side"], row["packed"]
+        if side < 0:
+            pairs = int.from_bytes(blob, "little")
+            continue
+        wide = width + side
+        k = len(blob) // (8 + 4 * wide)
+        r = np.frombuffer(blob, "<i4", k) + row["block"] * block
+        learner.squares[side][r] += np.frombuffer(blob, "<f4", k, 4 * k)
+        x = np.frombuffer(blob, "<f4", k * wide, 8 * k).reshape(k, wide)
+        if side == 0:
+            m.contexts[r] += x
+        else:
+            m.targets[r] += x[:, :width]
+            m.bias[r] += x[:, width]
+    return pairs
+
+
+def train(texts: DataFrame, classes: Classes, frequency: np.ndarray, steps: int = STEPS, rounds: int = ROUNDS, rate: float = 0.1) -> tuple[LogBilinear, int]:
+    """The model after one pass over all pairs, a share of the texts a round; and how many pairs that were."""
+    learner, pairs = begin(texts, classes, frequency, steps, rate), 0
+    tasks = max(8, int(math.sqrt(frequency.sum()) / 500))  # times classes: what they send grows as the tokens do
+    for number in range(rounds):
+        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == number).coalesce(tasks)
+        pairs += one_round(own, classes, learner, number, rate * (1 - number / rounds))
+    return learner.model, pairs
+
+
+def log_normalisers(spark: SparkSession, model: LogBilinear, block: int = 256) -> np.ndarray:
+    """ln of the sum over all targets of each context, by tasks for blocks of contexts."""
+    n = len(model.contexts)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sent.value.normalisers(at * block, at * block + block).tobytes()], pa.binary())], ["id", "z"])
+
+    out, blocks = np.empty(n), -(-n // block)
+    for row in spark.range(0, blocks, 1, max(1, min(blocks // 8, blocks, 1024))).mapInArrow(run, "id long, z binary").toLocalIterator():
+        out[row["id"] * block : (row["id"] + 1) * block] = np.frombuffer(row["z"], np.float64)
+    return out
 
 
 @dataclass
 class Trained:
-    """What workers need: of fixed size."""
+    """What workers need: it grows as the square root of the training tokens."""
 
     classes: Classes
     model: LogBilinear
+    normalisers: np.ndarray
+    trained_pairs: int
     head: pa.Array
     head_counts: np.ndarray
     shape_total: np.ndarray
@@ -240,12 +388,22 @@ class Trained:
         return np.log10(np.where(counts > 0, share, self.shape_unknown[shape]))
 
 
-def learn(texts: DataFrame, head: int = HEAD, own_class: int = OWN_CLASS, steps: int = STEPS) -> tuple[Trained, DataFrame]:
+def own_classes(tokens: int) -> int:
+    """How many words get a class of their own: classes squared, the work of normalisers, grow as the tokens do."""
+    return max(OWN_CLASS, int(OWN_GROWTH * math.sqrt(tokens)))
+
+
+def learn(texts: DataFrame, head: int = HEAD, own_class: int | None = None, steps: int = STEPS) -> tuple[Trained, DataFrame]:
     """What is learnt from a column `text`, and the table of counts that grows with it."""
+    bounded_batches(texts.sparkSession)
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = count_words(texts)
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = texts.count()
+    tokens = int(sums["n"] or 0) + ends
+    if own_class is None:
+        own_class = own_classes(tokens)
+        head = max(head, own_class)
     top = most_frequent(counts, head).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # `head` rows at most
     words = top.column("word").cast(pa.large_string()).combine_chunks()
     classes = Classes(words.slice(0, own_class))
@@ -260,8 +418,8 @@ def learn(texts: DataFrame, head: int = HEAD, own_class: int = OWN_CLASS, steps:
         twice[shape] -= n == 2
     discount = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.75), 0.1, 0.95)
     unknown = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
-    model = train(count_pairs(texts, classes), steps=steps)
-    return Trained(classes, model, words, top.column("n").to_numpy(), total, discount, unknown, int(sums["n"] or 0) + ends, int(sums["v"] or 0) + (ends > 0), ends), counts
+    model, pairs = train(texts, classes, np.concatenate([top.column("n").to_numpy()[: len(classes.own)], total, [ends]]), steps)
+    return Trained(classes, model, log_normalisers(texts.sparkSession, model), pairs, words, top.column("n").to_numpy(), total, discount, unknown, tokens, int(sums["v"] or 0) + (ends > 0), ends), counts
 
 
 def score(docs: DataFrame, trained: Trained, counts: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -277,7 +435,6 @@ def score(docs: DataFrame, trained: Trained, counts: DataFrame, keep: list[str],
 
     def run(batches):
         own = sent.value
-        table = own.model.log_probabilities().ravel() / np.float32(np.log(10))
         scale = np.log10(own.total + own.distinct + 1)
         number = numbers()
         for whole in batches:
@@ -285,7 +442,7 @@ def score(docs: DataFrame, trained: Trained, counts: DataFrame, keep: list[str],
                 words = find_words(batch.column("\1text"), PLAIN_LOWER)
                 contexts, targets, offsets = own.classes.stream(words)
                 n = np.diff(words.offsets)
-                token = table[contexts * own.classes.n + targets].astype(np.float64)
+                token = own.model.of_pairs(contexts, targets, own.normalisers) / np.log(10)
                 model = np.add.reduceat(token, offsets[:-1]) if len(n) else np.zeros(0)
                 lexicon = words.lexicon.cast(pa.large_string())
                 at = pc.fill_null(pc.index_in(lexicon, value_set=own.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -248,6 +248,25 @@ def test_probabilities_add_up(spark):
     assert set(trained.head.to_pylist()) <= {r["word"] for r in counts.collect()} and len(trained.head) <= 50
 
 
+def test_classes_and_training_grow_with_the_tokens(spark):
+    small, large = lm.own_classes(100_000), lm.own_classes(400_000)
+    assert abs(large - 2 * small) <= 1 and small > lm.OWN_CLASS
+    texts = spark.createDataFrame([(" ".join(f"w{(i * 37 + j * j) % 2500}" for j in range(400)),) for i in range(200)], "text string")
+    trained, _ = lm.learn(texts, steps=20)
+    assert len(trained.classes.own) == lm.own_classes(trained.total) > lm.OWN_CLASS
+    assert trained.trained_pairs == trained.total == 200 * 401  # each pair once, however few the steps on a sample
+    assert np.allclose(trained.normalisers, [trained.model.normalisers(i, i + 1)[0] for i in range(trained.classes.n)], atol=1e-4)
+
+
+def test_all_pairs_are_learnt(spark):
+    """Words follow each other in pairs; the sample alone, of one step, knows nothing of them."""
+    texts = spark.createDataFrame([(" ".join(f"{w} {w}x" for w in (f"w{(i * 7 + j) % 40}" for j in range(200))),) for i in range(300)], "text string").repartition(4)
+    trained, _ = lm.learn(texts, steps=1)
+    at = {w: i for i, w in enumerate(trained.classes.own.to_pylist())}
+    p = np.exp(trained.model.log_probabilities())
+    assert np.mean([p[at[f"w{i}"], at[f"w{i}x"]] for i in range(40)]) > 0.3
+
+
 # sharding
 
 
