@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
-1. Vote: heuristic labellers look at every document and vote bad or nothing; the table of labels, which covers some
-   documents, votes good or bad.  Labellers overlap and err.  There are two questions: is it well made (`quality`), is it
+1. Vote: heuristic labellers look at every document and vote bad or nothing; one of them by words, in any language, that
+   go with abuse in labelled documents; the table of labels, which covers some documents, votes good or bad.  Labellers overlap and err.  There are two questions: is it well made (`quality`), is it
    abusive (`toxic`).
 2. Estimate: expectation-maximisation (Dawid and Skene, 1979) over the counts of all vote patterns, of which there are
    3^labellers at most whatever the corpus, estimates how each labeller votes on good and on bad documents, and so each
@@ -10,7 +10,7 @@
    targets of a linear scorer over hashed features: words, their beginnings and ends, and steps of shares.
 4. Score: one pass over all documents.
 
-Scale: two passes that tokenise and one that picks the sample; the only shuffles are of votes (a few bytes a document) to
+Scale: two passes that tokenise, one over labelled documents, and one that picks the sample; the only shuffles are of votes (a few bytes a document) to
 meet the labels, and of pattern counts.  Sent to workers: the sample's keys and 2 * 2^BITS weights, both of fixed size.
 
 Defined results: null and empty texts get the verdict `bad` by the labeller of length, and are scored like any other;
@@ -39,7 +39,9 @@ GOOD, NONE, BAD = 1, 0, -1
 #: Words of abuse for the heuristic labellers.
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 QUALITY_VOTES = ("symbols", "capitals", "fragments", "repetition", "diversity", "length")
-TOXIC_VOTES = ("abuse", "abuse_share")
+TOXIC_VOTES = ("abuse", "abuse_share", "marked")
+#: How surely a word goes with abuse (a log-likelihood ratio), and in how many labelled documents, to be a marker.
+SURE, LEAST = 15.0, 3
 #: How many times as much a rather bad document counts: abuse is rarer, and harder to tell.
 RARE = {"quality": 2.0, "toxic": 4.0}
 #: How often labellers are right, to begin with: heuristics, and the table of labels.
@@ -119,15 +121,32 @@ class Shares:
         self.owner, self.code = distinct(words)
         self.diversity = np.bincount(self.owner, minlength=len(n)) / some
 
-    def votes(self) -> np.ndarray:
-        """A column for each of QUALITY_VOTES, then of TOXIC_VOTES."""
+    def votes(self, marks: np.ndarray | None = None) -> np.ndarray:
+        """A column for each of QUALITY_VOTES, then of TOXIC_VOTES.  marks: sorted hashes of marker words."""
 
         bad = [self.symbols > 0.2, self.capitals > 0.5, self.fragments > 0.15, self.repetition > 0.25, (self.n >= 30) & (self.diversity < 0.3), self.n < 3]
         bad += [self.abuse > 0, self.abuse > 0.005 * self.n]
+        known = np.isin(self.lexicon.hash[: self.lexicon.n], np.zeros(0, np.uint64) if marks is None else marks)
+        bad.append(np.bincount(self.owner, known[self.code], len(self.n)) >= 2)
         out = [np.where(x, BAD, NONE) for x in bad]
         return np.stack(out, 1).astype(np.int8)
 
 
+def markers(documents: list[np.ndarray], abusive: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the words, in any language, that go with abuse in labelled documents (their distinct words' hashes)."""
+    if not abusive.any() or abusive.all():
+        return np.zeros(0, np.uint64)
+    known, code = np.unique(np.concatenate(documents), return_inverse=True)
+    owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    a = np.bincount(code[abusive[owner]], minlength=len(known)).astype(np.float64)
+    n = np.bincount(code, minlength=len(known)).astype(np.float64)
+    share, total = abusive.mean(), len(documents)
+    cell = lambda seen, asked: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(asked, 1e-12)), 0.0)
+    bad, left = abusive.sum(), total - n
+    ratio = 2 * (cell(a, n * share) + cell(n - a, n * (1 - share)) + cell(bad - a, left * share) + cell(left - bad + a, left * (1 - share)))
+    return known[(a >= LEAST) & (ratio >= SURE) & (a > n * (1 + share) / 2)]
+
+
 def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(text, word code) of the distinct words of each text."""
     width = len(words.lexicon) + 1
@@ -194,8 +213,8 @@ def pooled(patterns: np.ndarray, counts: np.ndarray, good: np.ndarray, own: floa
     return out
 
 
-def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, voted: np.ndarray | None = None, bits: int = BITS, epochs: int = 30, rate: float = 0.3, decay: float = 3e-3, rare: float = 2.0, seldom: float = 0.01, seed: int = 9) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer of (distinct features, values), by AdaGrad; a feature of less than the share `seldom` of documents, or of fewer than three, has no weight.
+def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, voted: np.ndarray | None = None, bits: int = BITS, epochs: int = 30, rate: float = 0.3, decay: float = 3e-3, rare: float = 2.0, least: int = LEAST, seed: int = 9) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer of (distinct features, values), by AdaGrad; a feature of fewer than `least` documents with votes has no weight.
 
     A document counts by how sure its target is, and one that is rather bad (the rarer kind) `rare` times as much.
     Those that no labeller voted on count a tenth.
@@ -204,9 +223,10 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, vo
     if not len(features):
         return weights, bias
     often = np.zeros(1 << bits, np.int64)
-    for f, _ in features:
-        often[f] += 1
-    held = often >= max(3, seldom * len(features))
+    for i, (f, _) in enumerate(features):
+        if voted is None or voted[i]:
+            often[f] += 1
+    held = often >= least
     rows = [(f[held[f]], v[held[f]]) for f, v in features]
     random = np.random.default_rng(seed)
     sure = (2 * targets - 1) ** 2 * np.where(targets < 0.5, rare, 1.0) * (1.0 if voted is None else np.where(voted, 1.0, 0.1))
@@ -258,14 +278,14 @@ def margins(texts: pa.Array, models: list[tuple[np.ndarray, float]], bits: int =
     return np.stack(out, 1)
 
 
-def votes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep's columns and the votes of all heuristic labellers."""
+def votes(docs: DataFrame, text: str, keep: list[str], marks: np.ndarray | None = None) -> DataFrame:
+    """keep's columns and the votes of all heuristic labellers.  marks: sorted hashes of marker words."""
     names = [*QUALITY_VOTES, *TOXIC_VOTES]
 
     def run(batches):
         for whole in batches:
             for batch in chunks(whole, "\1text"):
-                got = Shares(find_words(batch.column("\1text"), PLAIN)).votes()
+                got = Shares(find_words(batch.column("\1text"), PLAIN)).votes(marks)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(got[:, i].astype(np.int32)) for i in range(len(names))]], [*keep, *names])
 
     schema = docs.select(*keep).schema
@@ -274,17 +294,36 @@ def votes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("\1text")).mapInArrow(run, schema)
 
 
+def learnt_markers(keyed: DataFrame, said: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Markers from documents that are labelled abusive or not, those of least hash, `sample` at most."""
+    told = keyed.select("k", "doc_id").join(said.where("labelled_toxic <> 0"), "doc_id").groupBy("k").agg(F.min("labelled_toxic").alias("labelled_toxic"))
+    picked = told.orderBy(F.xxhash64("k"), "k").limit(sample).collect()  # bounded by `sample`; texts stay where they are
+    chosen = keyed.sparkSession.createDataFrame([tuple(r) for r in picked], "k long, labelled_toxic int")
+
+    def run(batches):
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                shares = Shares(find_words(batch.column("text"), PLAIN))
+                at = np.searchsorted(shares.owner, np.arange(len(shares.n) + 1))
+                found = [np.unique(shares.lexicon.hash[shares.code[a:b]]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("labelled_toxic"), pa.array(found, pa.binary())], ["k", "said", "words"])
+
+    rows = keyed.join(F.broadcast(chosen), "k").select("k", F.coalesce("text", F.lit("")).alias("text"), "labelled_toxic").mapInArrow(run, "k long, said int, words binary").dropDuplicates(["k"])
+    got = sorted(((r["k"], r["said"] == BAD, np.frombuffer(r["words"], np.uint64)) for r in rows.toLocalIterator()), key=lambda r: r[0])  # bounded by `sample`
+    return markers([w for _, _, w in got], np.array([b for _, b, _ in got], bool))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, bits: int = BITS) -> dict[str, tuple[np.ndarray, float]]:
     """Models of `quality` (of good) and `toxic` (of clean)."""
     key = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{doc_id}`"))
     keyed = docs.select(key.alias("k"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     said = labels.where("doc_id is not null").groupBy("doc_id").agg(F.signum(F.avg("quality") - 0.5).cast("int").alias("labelled_quality"), F.signum(0.5 - F.avg("toxic")).cast("int").alias("labelled_toxic"))
-    voted = votes(keyed, "text", ["k", "doc_id"]).join(said, "doc_id", "left").na.fill(NONE, ["labelled_quality", "labelled_toxic"])
+    voted = votes(keyed, "text", ["k", "doc_id"], learnt_markers(keyed, said, sample)).join(said, "doc_id", "left").na.fill(NONE, ["labelled_quality", "labelled_toxic"])
     labelled = F.when((F.col("labelled_quality") != NONE) | (F.col("labelled_toxic") != NONE), 0).otherwise(1)
     columns = {"quality": [*QUALITY_VOTES, "labelled_quality"], "toxic": [*TOXIC_VOTES, "labelled_toxic"]}
     every = [*columns["quality"], *columns["toxic"]]
     light = written(voted.select("k", labelled.alias("late"), *every), "votes")
-    counted = light.groupBy(*every).agg(F.count(F.lit(1)).alias("n")).collect()  # 3^9 rows at most
+    counted = light.groupBy(*every).agg(F.count(F.lit(1)).alias("n")).collect()  # 3^10 rows at most
     picked = light.dropDuplicates(["k"]).orderBy("late", F.xxhash64("k"), "k").limit(sample).collect()  # bounded by `sample`
     posterior = {}
     for name, own in columns.items():

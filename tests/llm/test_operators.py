@@ -330,6 +330,27 @@ def test_held_out_accuracy(spark, sf_dir):
     assert share([r for r in got if r["toxic"] == 1], kept) < 0.25
 
 
+def test_rare_words_of_labelled_documents_count():
+    """A word of 18 of 8,000 documents, all of them abusive, decides, however many documents have no vote."""
+    features = [(np.array([1, 2], np.int32) if i < 18 else np.array([2], np.int32), np.ones(2 if i < 18 else 1, np.float32)) for i in range(8000)]
+    targets = np.where(np.arange(8000) < 18, 0.01, 0.99)
+    weights, bias = quality.train(features, targets, np.arange(8000) < 3000, bits=4, rare=4.0)
+    assert weights[1] < 0 and weights[1] + weights[2] + bias < 0 < weights[2] + bias
+
+
+def test_markers_in_any_language(spark):
+    r = np.random.default_rng(8)
+    abusive = np.arange(600) % 8 == 0
+    texts = [" ".join([*(f"mot{x}" for x in r.integers(0, 50, 30)), *(["achkeiter", "réeuxçois"] if bad and i % 3 else [])]) for i, bad in enumerate(abusive.tolist())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    said = spark.createDataFrame([(i, -1 if bad else 1) for i, bad in enumerate(abusive.tolist())], "doc_id long, labelled_toxic int")
+    marks = quality.learnt_markers(docs.withColumn("k", F.col("doc_id")), said)
+    found = quality.find_words(pa.array(["achkeiter", "réeuxçois", "mot7"]), quality.PLAIN)
+    lexicon = quality.Lexicon(found.lexicon)
+    assert sorted(w.decode() if isinstance(w, bytes) else w for w, h in zip(found.lexicon.to_pylist(), lexicon.hash, strict=False) if h in marks) == ["achkeiter", "réeuxçois"]
+    assert quality.Shares(quality.find_words(pa.array(["achkeiter réeuxçois mot7", "mot7 mot8 achkeiter"]), quality.PLAIN)).votes(marks)[:, -1].tolist() == [quality.BAD, quality.NONE]
+
+
 def test_labels_are_not_needed(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(odd, quality.fit(odd, labels)).count() == odd.count()
