@@ -1,8 +1,8 @@
-"""Similarity join of documents by the Jaccard similarity of their sets of word n-grams, with an LSH forest.
+"""Similarity join of documents by the Jaccard similarity of their sets of word n-grams, with MinHash banding.
 
-1. Sign: MinHash values of each text make up TREES strings of up to DEPTH values; each tree is a sorted trie of its
-   strings.  Texts meet that share a prefix in any tree.  The prefix begins at its full length and is shortened until the
-   expected recall of a pair just at the threshold, 1 - (1 - t^d)^TREES, is the target's or more.
+1. Sign: MinHash values of each text make up TREES bands of d values, hashed to a key each.  Texts meet that share a key.
+   d is fixed before any text is read: the longest, DEPTH at most, with which the expected recall of a pair just at the
+   threshold, 1 - (1 - t^d)^TREES, is the target's or more; values beyond it are not computed, and no tries are built.
 2. Meet: equal prefixes are tied to the least text among them (never all pairs), and ties make up components.
 3. Verify: inside a component, texts are compared exactly, by sets of n-grams, in blocks of BLOCK texts against blocks,
    each pair of blocks a task of bounded size.  What comes back is counts and one tie for each text, not pairs.
