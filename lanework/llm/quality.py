@@ -1,26 +1,32 @@
 """Quality classifier from weak labels.
 
-1. Vote: heuristic labellers look at every document and vote bad or nothing; one of them by words, in any language, that
-   go with abuse in labelled documents; the table of labels, which covers some documents, votes good or bad.  Labellers overlap and err.  There are two questions: is it well made (`quality`), is it
-   abusive (`toxic`).
+1. Vote: heuristic labellers look at every document and vote bad or stay silent; one of them by marker words, in any
+   language, that go with abuse in labelled documents.  Labellers overlap and err.  There are two questions: is it well
+   made (`quality`), is it abusive (`toxic`).  The table of labels covers some documents and is taken at its word, but for
+   a share of LABEL_ERROR.
 2. Estimate: expectation-maximisation (Dawid and Skene, 1979) over the counts of all vote patterns, of which there are
-   3^labellers at most whatever the corpus, estimates how each labeller votes on good and on bad documents, and so each
-   pattern's posterior.  Patterns without a label take after labelled ones with the same votes otherwise.
+   2^heuristics * 3 at most whatever the corpus, estimates how often each heuristic votes bad on good documents and on each
+   kind of bad ones, and so each pattern's posterior.  There is one kind for each heuristic, so labellers that look for
+   different things needn't agree.  A heuristic looks at every document, so its silence is evidence too; a missing label is
+   none.  A heuristic that would vote bad more often on good documents than on bad ones is no evidence at all.
 3. Train: the posteriors of a bounded sample of documents (SAMPLE, those of least hash, labelled ones first) are the soft
    targets of a linear scorer over hashed features: words, their beginnings and ends, and steps of shares.
 4. Score: one pass over all documents.
 
-Scale: two passes that tokenise, one over labelled documents, and one that picks the sample; the only shuffles are of votes (a few bytes a document) to
-meet the labels, and of pattern counts.  Sent to workers: the sample's keys and 2 * 2^BITS weights, both of fixed size.
+Scale: two passes that tokenise, one over labelled documents and one that picks the sample; the only shuffles are of votes
+(a few bytes a document) to meet the labels, and of pattern counts.  The scorer is trained in one task, on the sample's
+features read back from the shared folder; the driver holds votes, targets and weights, never texts or features.  Sent to
+workers: the sample's keys, the markers and 2 * 2^BITS weights, all of fixed size.
 
 Defined results: null and empty texts get the verdict `bad` by the labeller of length, and are scored like any other;
-labels are averaged for each doc_id, ties vote nothing, null labels vote nothing; repeated rows get equal scores; without
-any labels or documents the heuristics alone, or nothing, decide; extra columns aren't read, and a column to keep that has
-the name of a result gives way to it.
+labels are averaged for each doc_id, ties and null labels say nothing; repeated rows get equal scores; without any labels
+the heuristics alone decide, and what none of them finds is good; without documents there is nothing; extra columns aren't
+read, and a column to keep that has the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,16 +42,25 @@ BITS = 18
 #: The sample's bound, in documents.
 SAMPLE = 8000
 GOOD, NONE, BAD = 1, 0, -1
-#: Words of abuse for the heuristic labellers.
-ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+#: Words that begin the list of abuse, in four languages; labelled documents add their own in any language.
+ABUSE = (
+    "bastard", "dumb", "fool", "idiot", "imbecile", "moron", "scum", "stupid", "worthless",
+    "abschaum", "blödmann", "depp", "dreckskerl", "dumm", "trottel", "widerlich",
+    "abruti", "crétin", "débile", "imbécile", "ordure", "salaud", "stupide",
+    "asqueroso", "basura", "escoria", "estúpido", "idiota", "imbécil", "tonto",
+)
 QUALITY_VOTES = ("symbols", "capitals", "fragments", "repetition", "diversity", "length")
 TOXIC_VOTES = ("abuse", "abuse_share", "marked")
 #: How surely a word goes with abuse (a log-likelihood ratio), and in how many labelled documents, to be a marker.
 SURE, LEAST = 15.0, 3
 #: How many times as much a rather bad document counts: abuse is rarer, and harder to tell.
 RARE = {"quality": 2.0, "toxic": 4.0}
-#: How often labellers are right, to begin with: heuristics, and the table of labels.
-TRUST = 0.95, 0.99
+#: How often the table of labels errs.
+LABEL_ERROR = 0.001
+#: Votes (bad, silent) that each heuristic begins with: on good documents, on badness of other kinds, on its own kind.
+PRIOR_VOTES = np.array([[0.1, 9.9], [0.2, 1.8], [4.0, 1.0]])
+#: Documents to begin with: good ones, bad ones.
+PRIOR_DOCUMENTS = np.array([4.0, 1.0])
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?$#*%&()[]{}<>|\"'-_/\\")] = True
 _LOWER = byte_table(b"", True)
@@ -93,19 +108,20 @@ class Lexicon:
         count = lambda flag: np.add.reduceat(flag.astype(np.int64), starts)
         big, small = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122))
         doubled = (ends - starts > 2) & (data[ends - 1] == data[np.maximum(ends - 2, 0)]) & _EDGE[data[ends - 1]]
-        self.flags = np.stack([doubled, (big > 0) & (small == 0) & (ends - starts > 1), count(_WORDY[data]) == 0, np.isin(self.hash, _abuse())], 1)[: self.n].astype(np.float64)
+        self.flags = np.stack([doubled, (big > 0) & (small == 0) & (ends - starts > 1), count(_WORDY[data]) == 0, np.isin(self.hash, abuse_hashes())], 1)[: self.n].astype(np.float64)
 
 
 @lru_cache(maxsize=1)
-def _abuse() -> np.ndarray:
+def abuse_hashes() -> np.ndarray:
     powers = np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
-    return mix(np.array([((np.frombuffer(w.encode(), np.uint8).astype(np.uint64) + np.uint64(1)) * powers[: len(w)]).sum() for w in ABUSE], np.uint64))
+    words = [np.frombuffer(w.encode(), np.uint8).astype(np.uint64) for w in ABUSE]
+    return mix(np.array([((w + np.uint64(1)) * powers[: len(w)]).sum() for w in words], np.uint64))
 
 
 class Shares:
-    """What the labellers look at, for each text."""
+    """What the labellers look at, for each text.  marks: sorted hashes of marker words."""
 
-    def __init__(self, words: Words, bits: int = BITS):
+    def __init__(self, words: Words, marks: np.ndarray | None = None, bits: int = BITS):
         n = np.diff(words.offsets)
         self.n = n
         self.lexicon = Lexicon(words.lexicon, bits)
@@ -120,14 +136,16 @@ class Shares:
         self.abuse, self.repetition = sums(each[:, 3]), sums(same) / some
         self.owner, self.code = distinct(words)
         self.diversity = np.bincount(self.owner, minlength=len(n)) / some
+        known = np.isin(self.lexicon.hash[: self.lexicon.n], np.zeros(0, np.uint64) if marks is None else marks)
+        #: Distinct marker words of each text, and distinct words of abuse of either list.
+        self.marked = np.bincount(self.owner, known[self.code], len(n))
+        self.listed = np.bincount(self.owner, (known | (self.lexicon.flags[:, 3] > 0))[self.code], len(n))
 
-    def votes(self, marks: np.ndarray | None = None) -> np.ndarray:
-        """A column for each of QUALITY_VOTES, then of TOXIC_VOTES.  marks: sorted hashes of marker words."""
-
+    def votes(self) -> np.ndarray:
+        """A column for each of QUALITY_VOTES, then of TOXIC_VOTES."""
         bad = [self.symbols > 0.2, self.capitals > 0.5, self.fragments > 0.15, self.repetition > 0.25, (self.n >= 30) & (self.diversity < 0.3), self.n < 3]
         bad += [self.abuse > 0, self.abuse > 0.005 * self.n]
-        known = np.isin(self.lexicon.hash[: self.lexicon.n], np.zeros(0, np.uint64) if marks is None else marks)
-        bad.append(np.bincount(self.owner, known[self.code], len(self.n)) >= 2)
+        bad.append(self.marked >= 2)
         out = [np.where(x, BAD, NONE) for x in bad]
         return np.stack(out, 1).astype(np.int8)
 
@@ -162,55 +180,47 @@ def step_features(shares: Shares, bits: int = BITS) -> np.ndarray:
         known = np.array([xxhash.xxh32_intdigest(f"{name}{i}".encode()) & ((1 << bits) - 1) for i in range(10)])
         out.append(known[steps])
     for least in (1, 2, 4):
-        known = np.array([xxhash.xxh32_intdigest(f"abuse{least}{x}".encode()) & ((1 << bits) - 1) for x in ("no", "yes")])
-        out += [known[(shares.abuse >= least).astype(int)]] * 4  # four times: it stands for words in any form
+        known = np.array([xxhash.xxh32_intdigest(f"listed{least}{x}".encode()) & ((1 << bits) - 1) for x in ("no", "yes")])
+        out.append(known[(shares.listed >= least).astype(int)])
     size = np.digitize(shares.n, [1, 3, 10, 30, 100, 300, 1000, 3000])
     out.append(np.array([xxhash.xxh32_intdigest(f"size{i}".encode()) & ((1 << bits) - 1) for i in range(9)])[size])
     return np.stack(out, 1)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, trust: tuple[float, float] = TRUST, rounds: int = 300) -> np.ndarray:
-    """The posterior of `good` of each vote pattern; the last column is the table of labels.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+    """The posterior of `good` of each vote pattern, whose last column is the label; and each heuristic's rates of bad votes.
 
-    A heuristic finds one kind of badness, so its silence is no evidence; nor is that of labels, which cover some documents.
-    Each labeller begins with as much weight as it has votes on being right as often as `trust` says.
+    Latent classes: good, and one kind of badness for each heuristic, the kind it looks for.  So that one heuristic is silent
+    says nothing against a kind that another one finds.  rates[0]: on bad documents of any kind; rates[1]: on good ones.
     """
-    good = np.where((patterns == BAD).any(1), 0.1, 0.9)
-    one_hot = np.stack([patterns == v for v in (BAD, NONE, GOOD)], 2).astype(np.float64)
-    one_hot[:, :, 1] = 0
-    prior_votes = np.full((2, patterns.shape[1], 3), 0.01)
-    for column in range(patterns.shape[1]):
-        right = trust[column == patterns.shape[1] - 1]
-        said = (counts * (patterns[:, column] != NONE)).sum()
-        prior_votes[:, column] += said * np.array([[right, 0, 1 - right], [1 - right, 0, right]])
+    fired, label = (patterns[:, :-1] == BAD).astype(np.float64), patterns[:, -1]
+    n = fired.shape[1]
+    told = np.where(label == GOOD, 1 - LABEL_ERROR, LABEL_ERROR)
+    good = np.where(label != NONE, told, np.where(fired.any(1), 0.1, 0.95))
+    begun = np.repeat(PRIOR_VOTES[[0, 1]], [1, n], 0)[:, None, :] * np.ones((1, n, 1))  # of each class and heuristic: bad, silent
+    begun[np.arange(n) + 1, np.arange(n)] = PRIOR_VOTES[2]
+    kinds = (fired + 0.01) / (fired + 0.01).sum(1, keepdims=True) * (1 - good)[:, None]
+    held = np.column_stack([good, kinds])
+    documents = np.repeat(PRIOR_DOCUMENTS / [1, n], [1, n])
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - good), counts * good])
-        prior = (weight.sum(1) + 1) / (weight.sum() + 2)
-        votes = np.einsum("cp,plv->clv", weight, one_hot) + prior_votes
-        votes /= votes.sum(2, keepdims=True)
-        logs = np.log(prior)[:, None] + np.einsum("clv,plv->cp", np.log(votes), one_hot)
-        now = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
-        if np.abs(now - good).max(initial=0) < 1e-6:
+        weight = counts[:, None] * held
+        share = (weight.sum(0) + documents) / (weight.sum() + documents.sum())
+        votes, seen = weight.T @ fired + begun[:, :, 0], weight.sum(0)[:, None] + begun.sum(2)
+        rates = votes / seen
+        own = np.arange(n)
+        wrong = rates[own + 1, own] < rates[0, own]  # bad votes that go with good documents are no evidence of badness
+        rates[own[wrong] + 1, own[wrong]] = rates[0, own[wrong]]
+        logs = np.log(share) + fired @ np.log(rates).T + (1 - fired) @ np.log1p(-rates).T
+        now = np.exp(logs - logs.max(1, keepdims=True))
+        now /= now.sum(1, keepdims=True)
+        bad = np.maximum(now[:, 1:].sum(1), 1e-300)
+        now = np.where((label != NONE)[:, None], np.column_stack([told, now[:, 1:] * ((1 - told) / bad)[:, None]]), now)
+        done = np.abs(now - held).max(initial=0) < 1e-7
+        held = now
+        if done:
             break
-        good = now
-    return good
-
-
-def pooled(patterns: np.ndarray, counts: np.ndarray, good: np.ndarray, own: float = 20.0) -> np.ndarray:
-    """Posteriors where patterns without a label (the last column) take after those that only a label tells apart from them.
-
-    Heuristics are not as independent as the estimate takes them to be; labelled documents with just their votes know
-    better.  The pattern's own posterior counts as much as `own` documents.
-    """
-    out = good.copy()
-    labelled = patterns[:, -1] != NONE
-    peers: dict[bytes, np.ndarray] = {}
-    for p, n, g in zip(patterns[labelled], counts[labelled], good[labelled], strict=True):
-        peers[p[:-1].tobytes()] = peers.get(p[:-1].tobytes(), np.zeros(2)) + (n, n * g)
-    for i in np.flatnonzero(~labelled):
-        n, g = peers.get(patterns[i, :-1].tobytes(), np.zeros(2))
-        out[i] = (own * good[i] + g) / (own + n)
-    return out
+    weight = counts @ held
+    return held[:, 0], np.stack([(weight[1:, None] * rates[1:]).sum(0) / max(weight[1:].sum(), 1e-300), rates[0]])
 
 
 def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, voted: np.ndarray | None = None, bits: int = BITS, epochs: int = 30, rate: float = 0.3, decay: float = 3e-3, rare: float = 2.0, least: int = LEAST, seed: int = 9) -> tuple[np.ndarray, float]:
@@ -252,10 +262,9 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, vo
     return mean, float(mean_bias)
 
 
-def features_of(texts: pa.Array, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+def features_of(texts: pa.Array, marks: np.ndarray | None = None, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """The distinct hashed features of each text, and how many of its distinct words have them."""
-    words = find_words(texts, PLAIN)
-    shares = Shares(words, bits)
+    shares = Shares(find_words(texts, PLAIN), marks, bits)
     steps = step_features(shares, bits)
     at = np.searchsorted(shares.owner, np.arange(len(shares.n) + 1))
     out = []
@@ -266,10 +275,9 @@ def features_of(texts: pa.Array, bits: int = BITS) -> list[tuple[np.ndarray, np.
     return out
 
 
-def margins(texts: pa.Array, models: list[tuple[np.ndarray, float]], bits: int = BITS) -> np.ndarray:
+def margins(texts: pa.Array, models: list[tuple[np.ndarray, float]], marks: np.ndarray | None = None, bits: int = BITS) -> np.ndarray:
     """A column of margins for each model."""
-    words = find_words(texts, PLAIN)
-    shares = Shares(words, bits)
+    shares = Shares(find_words(texts, PLAIN), marks, bits)
     steps = step_features(shares, bits)
     out = []
     for weights, bias in models:  # linear: a word stands for the sum of its features' weights
@@ -285,7 +293,7 @@ def votes(docs: DataFrame, text: str, keep: list[str], marks: np.ndarray | None
     def run(batches):
         for whole in batches:
             for batch in chunks(whole, "\1text"):
-                got = Shares(find_words(batch.column("\1text"), PLAIN)).votes(marks)
+                got = Shares(find_words(batch.column("\1text"), PLAIN), marks).votes()
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(got[:, i].astype(np.int32)) for i in range(len(names))]], [*keep, *names])
 
     schema = docs.select(*keep).schema
@@ -313,17 +321,25 @@ def learnt_markers(keyed: DataFrame, said: DataFrame, sample: int = SAMPLE) -> n
     return markers([w for _, _, w in got], np.array([b for _, b, _ in got], bool))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, bits: int = BITS) -> dict[str, tuple[np.ndarray, float]]:
-    """Models of `quality` (of good) and `toxic` (of clean)."""
+@dataclass
+class Models:
+    """Of each question (`quality`: of good, `toxic`: of clean) the weights and bias; the marker words' hashes."""
+
+    linear: dict[str, tuple[np.ndarray, float]]
+    marks: np.ndarray
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, bits: int = BITS) -> Models:
     key = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{doc_id}`"))
     keyed = docs.select(key.alias("k"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     said = labels.where("doc_id is not null").groupBy("doc_id").agg(F.signum(F.avg("quality") - 0.5).cast("int").alias("labelled_quality"), F.signum(0.5 - F.avg("toxic")).cast("int").alias("labelled_toxic"))
-    voted = votes(keyed, "text", ["k", "doc_id"], learnt_markers(keyed, said, sample)).join(said, "doc_id", "left").na.fill(NONE, ["labelled_quality", "labelled_toxic"])
+    marks = learnt_markers(keyed, said, sample)
+    voted = votes(keyed, "text", ["k", "doc_id"], marks).join(said, "doc_id", "left").na.fill(NONE, ["labelled_quality", "labelled_toxic"])
     labelled = F.when((F.col("labelled_quality") != NONE) | (F.col("labelled_toxic") != NONE), 0).otherwise(1)
     columns = {"quality": [*QUALITY_VOTES, "labelled_quality"], "toxic": [*TOXIC_VOTES, "labelled_toxic"]}
     every = [*columns["quality"], *columns["toxic"]]
     light = written(voted.select("k", labelled.alias("late"), *every), "votes")
-    counted = light.groupBy(*every).agg(F.count(F.lit(1)).alias("n")).collect()  # 3^10 rows at most
+    counted = light.groupBy(*every).agg(F.count(F.lit(1)).alias("n")).collect()  # 2^9 * 3^2 rows at most
     picked = light.dropDuplicates(["k"]).orderBy("late", F.xxhash64("k"), "k").limit(sample).collect()  # bounded by `sample`
     posterior = {}
     for name, own in columns.items():
@@ -331,37 +347,51 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         for row in counted:
             p = tuple(row[c] for c in own)
             known[p] = known.get(p, 0) + row["n"]
-        patterns = np.array(list(known), np.int8).reshape(-1, len(own))
-        seen = np.array(list(known.values()), np.float64)
-        posterior[name] = dict(zip(known, pooled(patterns, seen, estimate(patterns, seen)), strict=True))
-    targets = {r["k"]: [(posterior[name][p := tuple(r[c] for c in own)], any(p)) for name, own in columns.items()] for r in picked}
-
-    def run(batches):
+        good, _ = estimate(np.array(list(known), np.int8).reshape(-1, len(own)), np.array(list(known.values()), np.float64))
+        posterior[name] = dict(zip(known, good.tolist(), strict=True))
+    votes_of = lambda row, own: tuple(row[c] for c in own)
+    targets = [(r["k"], *[x for name, own in columns.items() for x in (posterior[name][votes_of(r, own)], any(votes_of(r, own)))]) for r in picked]
+    names = [f"{name}_{what}" for name in columns for what in ("target", "voted")]
+    chosen = docs.sparkSession.createDataFrame(targets, "k long, " + ", ".join(f"{n} {'double' if n.endswith('target') else 'boolean'}" for n in names))
+
+    def features(batches):
         for whole in batches:
             for batch in chunks(whole, "text"):
-                found = features_of(batch.column("text"), bits)
-                yield pa.RecordBatch.from_arrays([batch.column("k"), *[pa.array([x[j].tobytes() for x in found], pa.binary()) for j in range(2)]], ["k", "f", "v"])
-
-    chosen = docs.sparkSession.createDataFrame([(k,) for k in targets], "k long")
-    rows = keyed.join(F.broadcast(chosen), "k").select("k", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "k long, f binary, v binary").dropDuplicates(["k"])
-    got = {r["k"]: (np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rows.toLocalIterator()}  # bounded by `sample`
-    order = sorted(got)
-    told = np.array([targets[k] for k in order]).reshape(-1, len(columns), 2)
-    return {name: train([got[k] for k in order], told[:, i, 0], told[:, i, 1] > 0, bits, rare=RARE[name]) for i, name in enumerate(columns)}
-
-
-def score(docs: DataFrame, models: dict[str, tuple[np.ndarray, float]], text: str = "text", keep: list[str] | None = None, bits: int = BITS) -> DataFrame:
+                found = features_of(batch.column("text"), marks, bits)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("k", *names)], *[pa.array([x[j].tobytes() for x in found], pa.binary()) for j in range(2)]], ["k", *names, "f", "v"])
+
+    def trained(batches):  # in one task; bounded by `sample`
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault(row["k"], (np.frombuffer(row["f"], np.int32), np.frombuffer(row["v"], np.float32), [row[n] for n in names]))
+        order = sorted(held)
+        told = np.array([held[k][2] for k in order], np.float64).reshape(-1, len(columns), 2)
+        own = [held[k][:2] for k in order]
+        for i, name in enumerate(columns):
+            weights, bias = train(own, told[:, i, 0], told[:, i, 1] > 0, bits, rare=RARE[name])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], ["name", "weights", "bias"])
+
+    schema = chosen.schema.add("f", "binary").add("v", "binary")
+    rows = keyed.join(F.broadcast(chosen), "k").select("k", F.coalesce("text", F.lit("")).alias("text"), *names).mapInArrow(features, schema)
+    got = written(rows, "features").coalesce(1).mapInArrow(trained, "name string, weights binary, bias double").collect()  # a row for each question
+    linear = {r["name"]: (np.frombuffer(r["weights"], np.float32), r["bias"]) for r in got}
+    return Models({name: linear.get(name, (np.zeros(1 << bits, np.float32), 0.0)) for name in columns}, marks)
+
+
+def score(docs: DataFrame, models: Models, text: str = "text", keep: list[str] | None = None, bits: int = BITS) -> DataFrame:
     """keep's columns (else all) with quality_score, toxic_score (probabilities) and keep_document."""
     bounded_batches(docs.sparkSession)
     names = giving_way(list(docs.columns if keep is None else keep), ["quality_score", "toxic_score", "keep_document"])
-    sent = docs.sparkSession.sparkContext.broadcast([(w.astype(np.float32), b) for w, b in (models["quality"], models["toxic"])])
+    sent = docs.sparkSession.sparkContext.broadcast(([models.linear["quality"], models.linear["toxic"]], models.marks))
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("\1text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("quality_score", "double").add("toxic_score", "double").add("keep_document", "boolean")
 
     def run(batches):
+        linear, marks = sent.value
         for whole in batches:
             for batch in chunks(whole, "\1text"):
-                m = margins(batch.column("\1text"), sent.value, bits)
+                m = margins(batch.column("\1text"), linear, marks, bits)
                 good, clean = (1 / (1 + np.exp(-np.clip(m[:, i], -500, 500))) for i in range(2))
                 kept = (good >= 0.5) & (clean >= 0.5)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(good), pa.array(1 - clean), pa.array(kept)], schema.names)

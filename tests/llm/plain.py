@@ -89,3 +89,36 @@ def base_scores(rows):
     score = lambda c: math.log10((c + 1) / (n + v + 1))
     for (d, _), h, w in zip(rows, held, words, strict=True):
         yield d, h, len(w) + 1, sum(count[x] > 0 for x in w) + (ends > 0), n, sum(score(count[x]) for x in w) + score(ends)
+
+
+def posteriors(patterns, counts, rounds, votes, documents, label_error):
+    """The posterior of good of each pattern (votes -1 or 0, then a label), a pattern and a class at a time."""
+    n = len(patterns[0]) - 1
+    told = {1: 1 - label_error, -1: label_error}
+
+    def spread(p, weights, good):
+        return [good, *[w / sum(weights) * (1 - good) for w in weights]]
+
+    held = []
+    for p in patterns:
+        weights = [(v == -1) + 0.01 for v in p[:-1]]
+        held.append(spread(p, weights, told.get(p[-1], 0.1 if -1 in p[:-1] else 0.95)))
+    for _ in range(rounds):
+        mass = [sum(c * h[k] for c, h in zip(counts, held, strict=True)) for k in range(n + 1)]
+        begun = [documents[0], *[documents[1] / n] * n]
+        share = [(m + b) / (sum(mass) + sum(begun)) for m, b in zip(mass, begun, strict=True)]
+        rate = []
+        for k in range(n + 1):
+            row = []
+            for h in range(n):
+                bad, silent = votes[0] if k == 0 else votes[2] if h == k - 1 else votes[1]
+                row.append((sum(c * x[k] for p, c, x in zip(patterns, counts, held, strict=True) if p[h] == -1) + bad) / (mass[k] + bad + silent))
+            rate.append(row)
+        for h in range(n):
+            rate[h + 1][h] = max(rate[h + 1][h], rate[0][h])
+        now = []
+        for p in patterns:
+            like = [share[k] * math.prod(rate[k][h] if p[h] == -1 else 1 - rate[k][h] for h in range(n)) for k in range(n + 1)]
+            now.append(spread(p, like[1:], told.get(p[-1], like[0] / sum(like))))
+        held = now
+    return [h[0] for h in held]

@@ -310,12 +310,61 @@ def test_nested_rules_and_salts(spark):
 # quality
 
 
-def test_estimated_labellers():
-    r = np.random.default_rng(4)
-    good = r.random(20_000) < 0.8
-    votes = np.stack([np.where(r.random(len(good)) < a, np.where(good, 1, -1), np.where(good, -1, 1)) * (r.random(len(good)) < 0.7) for a in (0.95, 0.85, 0.8, 0.75)], 1)
+def one_sided(n, kinds, alarms, labelled, seed=4):
+    """Votes of heuristics on documents, a fifth of which are bad, of one kind each: (votes and label, good).
+
+    kinds[k][h]: how often heuristic h votes on badness of kind k; alarms[h]: how often on good documents.
+    """
+    r = np.random.default_rng(seed)
+    good = r.random(n) < 0.8
+    kind = r.integers(0, len(kinds), n)
+    rate = np.where(good[:, None], np.array(alarms), np.array(kinds)[kind])
+    votes = np.where(r.random(rate.shape) < rate, quality.BAD, quality.NONE)
+    label = np.where(r.random(n) < labelled, np.where(good, quality.GOOD, quality.BAD), quality.NONE)
+    return np.column_stack([votes, label]), good
+
+
+def estimated(votes):
     patterns, place, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    assert ((quality.estimate(patterns, counts.astype(float)) > 0.5)[place.ravel()] == good).mean() > 0.9
+    good, rates = quality.estimate(patterns, counts.astype(float))
+    return good[place.ravel()], rates, patterns, counts
+
+
+def test_rates_of_one_sided_labellers_are_recovered():
+    kinds, alarms = [[0.9, 0.1, 0.0], [0.0, 0.7, 0.2], [0.1, 0.0, 0.8]], [0.01, 0.03, 0.0]
+    votes, good = one_sided(40_000, kinds, alarms, 0.1)
+    posterior, rates, _, _ = estimated(votes)
+    assert np.allclose(rates[0], np.mean(kinds, 0), atol=0.05) and np.allclose(rates[1], alarms, atol=0.01)
+    like = lambda r: np.prod(np.where(votes[:, :-1] == quality.BAD, r, 1 - np.array(r)), 1)
+    known = 0.8 * like(alarms) > 0.2 * np.mean([like(k) for k in kinds], 0)  # by the rates that the votes were drawn with
+    silent = votes[:, -1] == quality.NONE
+    assert ((posterior > 0.5) == good)[silent].mean() > (known == good)[silent].mean() - 0.005
+    one, good = one_sided(40_000, [[0.9]], [0.0], 0.05)
+    posterior, rates, _, _ = estimated(one)
+    assert abs(rates[0, 0] - 0.9) < 0.05 and rates[1, 0] < 0.01
+    assert (posterior[(one == 0).all(1)] > 0.9).all()
+
+
+def test_labels_are_kept_and_wrong_heuristics_are_not_believed():
+    votes, good = one_sided(20_000, [[0.5, 0.5]], [0.3, 0.0], 0.1)
+    votes[:, 1] = np.where(good & (np.arange(len(good)) % 9 == 0), quality.BAD, quality.NONE)  # votes on good documents only
+    posterior, rates, _, _ = estimated(votes)
+    assert (posterior[votes[:, -1] == quality.GOOD] > 0.99).all() and (posterior[votes[:, -1] == quality.BAD] < 0.01).all()
+    assert (posterior[(votes[:, 0] == 0) & (votes[:, 1] == quality.BAD) & (votes[:, -1] == 0)] > 0.5).all()
+
+
+def test_without_labels_what_no_heuristic_finds_is_good():
+    votes, good = one_sided(20_000, [[0.9, 0.2], [0.1, 0.8]], [0.01, 0.01], 0.0)
+    posterior, _, _, _ = estimated(votes)
+    assert (posterior[(votes == 0).all(1)] > 0.9).all() and (posterior[(votes < 0).any(1)] < 0.5).all()
+
+
+def test_estimate_is_the_plain_one():
+    votes, _ = one_sided(3_000, [[0.8, 0.2], [0.1, 0.7]], [0.02, 0.05], 0.2)
+    _, _, patterns, counts = estimated(votes)
+    good, _ = quality.estimate(patterns, counts.astype(float), rounds=40)
+    prior = quality.PRIOR_VOTES.tolist(), quality.PRIOR_DOCUMENTS.tolist(), quality.LABEL_ERROR
+    assert np.allclose(good, plain.posteriors(patterns.tolist(), counts.tolist(), 40, *prior), atol=1e-6)
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -325,9 +374,9 @@ def test_held_out_accuracy(spark, sf_dir):
     got = quality.score(docs, quality.fit(docs, labels.where(~hidden)), keep=["doc_id"]).join(labels.where(hidden), "doc_id").collect()
     share = lambda rows, right: sum(map(right, rows)) / len(rows)
     kept = lambda r: r["keep_document"]
-    assert share(got, lambda r: (r["quality_score"] >= 0.5) == (r["quality"] == 1)) > 0.97
-    assert share([r for r in got if r["quality"] == 1 and r["toxic"] == 0], kept) > 0.98
-    assert share([r for r in got if r["toxic"] == 1], kept) < 0.25
+    assert share(got, lambda r: (r["quality_score"] >= 0.5) == (r["quality"] == 1)) > 0.99
+    assert share([r for r in got if r["quality"] == 1 and r["toxic"] == 0], kept) > 0.99
+    assert share([r for r in got if r["toxic"] == 1], kept) < 0.1
 
 
 def test_rare_words_of_labelled_documents_count():
@@ -348,12 +397,17 @@ def test_markers_in_any_language(spark):
     found = quality.find_words(pa.array(["achkeiter", "réeuxçois", "mot7"]), quality.PLAIN)
     lexicon = quality.Lexicon(found.lexicon)
     assert sorted(w.decode() if isinstance(w, bytes) else w for w, h in zip(found.lexicon.to_pylist(), lexicon.hash, strict=False) if h in marks) == ["achkeiter", "réeuxçois"]
-    assert quality.Shares(quality.find_words(pa.array(["achkeiter réeuxçois mot7", "mot7 mot8 achkeiter"]), quality.PLAIN)).votes(marks)[:, -1].tolist() == [quality.BAD, quality.NONE]
+    assert quality.Shares(quality.find_words(pa.array(["achkeiter réeuxçois mot7", "mot7 mot8 achkeiter"]), quality.PLAIN), marks).votes()[:, -1].tolist() == [quality.BAD, quality.NONE]
 
 
-def test_labels_are_not_needed(spark, odd):
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality.score(odd, quality.fit(odd, labels)).count() == odd.count()
+def test_labels_are_not_needed(spark, odd, sf_dir):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score(odd, quality.fit(odd, none)).count() == odd.count()
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.score(docs, quality.fit(docs, none), keep=["doc_id"]).join(labels, "doc_id").collect()
+    clean = [r["keep_document"] for r in got if r["quality"] == 1 and r["toxic"] == 0]
+    bad = [r["keep_document"] for r in got if r["quality"] == 0]
+    assert sum(clean) > 0.95 * len(clean) and sum(bad) < 0.5 * len(bad)
 
 
 # names that clash, and the pipeline
