@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanework.llm.store import written
+from lanework.llm.store import written_and_told
 
 ROUNDS = 60
 
@@ -29,14 +29,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): for each node of an edge (u, v), bigint, the least node of its component."""
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    state = None
+    sums = {"n": F.count(F.lit(1)), "s": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    begun = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now, state = written_and_told(begun, f"{name}-0", **sums)
     for i in range(1, ROUNDS):
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (seen["n"], seen["s"]) == state or not seen["n"]:
+        if not state["n"]:
+            break
+        before = state
+        now, state = written_and_told(_small_star(_large_star(now)), f"{name}-{i}", **sums)
+        if state == before:
             break
-        state = seen["n"], seen["s"]
-        now = written(_small_star(_large_star(now)), f"{name}-{i}")
     else:
         raise RuntimeError(f"components aren't settled after {ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -77,7 +77,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = neardup.similar_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.drop("k", "h")
+    return rows.drop("group_key")
 
 
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.llm.words import CHUNK_BYTES
 from lanework.session import scratch
 
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written to the shared folder and read again: lineage ends here, and lost executors lose nothing."""
     path = scratch(df.sparkSession, name)
@@ -25,6 +26,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_and_told(df: DataFrame, name: str, **asked: Column) -> tuple[DataFrame, dict]:
+    """The same, and sums over all rows that the writing job works out by the way."""
+    told = Observation()
+    return written(df.observe(told, *[c.alias(n) for n, c in asked.items()]), name), told.get
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches bounded by bytes as well as by rows, so that long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -158,11 +158,81 @@ def test_periodic_text(spark):
 # near duplicates and graph
 
 
-def test_prefix_is_shortened_to_the_recall():
+def test_prefixes_are_shortened_to_the_recall():
     for target in (0.5, 0.9, 0.99, 0.999):
-        d = neardup.prefix_length(0.8, target)
-        assert 1 - (1 - 0.8**d) ** neardup.TREES >= target
-        assert d == neardup.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** neardup.TREES < target
+        d = neardup.least_depth(0.8, target)
+        assert neardup.met(0.8, d) >= target
+        assert d == neardup.DEPTH or neardup.met(0.8, d + 1) < target
+    least = neardup.least_depth()
+    assert least < neardup.DEPTH
+    none = [0.0] * (neardup.DEPTH - least + 2)
+    assert neardup.depth_for(none) == least  # nothing known: as pairs at the threshold ask for
+    close = neardup.weighed(np.full(50_000, 0.95), neardup.DEPTH, least).sum(0).tolist()
+    assert neardup.depth_for(close) == neardup.DEPTH  # all pairs are found at full depth
+    assert least <= neardup.depth_for(neardup.weighed(np.full(50_000, 0.81), neardup.DEPTH, least).sum(0).tolist()) < neardup.DEPTH
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ties_make_up_the_tries(spark, parts):
+    """Ties of a level or more connect just the texts that share so many values in some tree."""
+    r = np.random.default_rng(parts)
+    trees, depth, least, n = 3, 4, 2, 300
+    labels = r.integers(0, 4, (n, trees, depth)).astype(">u2")
+    texts = spark.createDataFrame([(i, 1, bytearray(labels[i].tobytes())) for i in range(n)], "id long, n long, labels binary")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    got = [tuple(x) for x in neardup.ties(texts, trees, depth, least).collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    def groups(pairs):
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        return [find(x) for x in range(n)]
+
+    for d in range(least, depth + 1):
+        shared = {}
+        for i in range(n):
+            for t in range(trees):
+                shared.setdefault((t, labels[i, t, :d].tobytes()), []).append(i)
+        assert groups((u, v) for u, v, level in got if level >= d) == groups((s[0], x) for s in shared.values() for x in s[1:])
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just at and above the threshold, planted among other texts, beside brute force."""
+    r, rows = np.random.default_rng(7), []
+    for i in range(150):
+        w = [f"w{i}x{j}" for j in range(200)]
+        other = list(w)
+        for at in range(10, 10 + int(r.integers(1, 5)) * 45, 45):  # each change takes five n-grams out of 196
+            other[at] = "changed"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    want = {d: n for d, _, n, _ in plain.similar(rows)}
+    got = {x["doc_id"]: x["n_links"] for x in neardup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(want.values()) == 300
+    assert all(got[d] <= n for d, n in want.items()) and sum(got.values()) >= 0.99 * sum(want.values())
+
+
+def test_little_similarity_hardly_meets():
+    assert neardup.met(0.5, neardup.DEPTH) < 0.12 and neardup.met(0.3, neardup.DEPTH) < 0.003
+
+
+@pytest.mark.parametrize("size", [1, 50, neardup.NEAR, 3 * neardup.NEAR + 5])
+def test_signatures_are_least_hashes(size):
+    text = " ".join(f"a{i}" for i in range(size + 4))
+    n, got = neardup.signatures(pa.array(["x y", text, None, text + " more"]), trees=2, depth=2)
+    grams, offsets = neardup.ngrams(pa.array([text]))
+    want = [int(neardup.mix((neardup.mix(grams) * f).min()[None])[0] >> np.uint64(48)) for f in neardup._multipliers(4)]
+    assert n.tolist() == [1, size, 0, size + 1] and got[1].tolist() == want and not got[2].any()
 
 
 def test_blocks_against_blocks(spark):
@@ -173,7 +243,7 @@ def test_blocks_against_blocks(spark):
         w[(i * 7) % 120] = f"new{i}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    small, whole = (neardup.similar_groups(df, block=b).drop("k", "h").select("doc_id", "n_links", "n_text_links", "group_id") for b in (7, 128))
+    small, whole = (neardup.similar_groups(df, block_bytes=b).select("doc_id", "n_links", "n_text_links", "group_id") for b in (7000, 1 << 21))
     assert sorted(small.collect()) == sorted(whole.collect()) == sorted((d, n, n, g) for d, _, n, g in plain.similar(rows))
 
 
