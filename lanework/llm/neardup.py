@@ -274,7 +274,7 @@ def verified(keyed: DataFrame, texts: DataFrame, members: DataFrame, threshold:
 
     tie: a text that its links lead to; found: see `weighed`, summed over its links.
     """
-    members = texts.select("id", "k", "h", "size", "n").join(members, "id")
+    members = texts.select("id", "k", "h", "class_id", "size", "n").join(members, "id")
     blocks = F.greatest(F.ceil(F.sum(F.col("n") * 8) / block_bytes), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int")
     members = members.join(members.groupBy("comp").agg(blocks.alias("blocks")), "comp").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("n")
 
@@ -286,7 +286,10 @@ def verified(keyed: DataFrame, texts: DataFrame, members: DataFrame, threshold:
                 own = [np.unique(grams[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(own, pa.binary())], [*names, "grams"])
 
-    found = keyed.select("k", "h", "text").join(members, ["k", "h"]).dropDuplicates(["k", "h"]).drop("k", "h")
+    # a class is one row of text: that of its least doc_id, so copies are dealt out by their own ids and go no further
+    rows, own = keyed.select("k", "h", "doc_id", "text").alias("r"), members.alias("m")
+    same = (F.col("r.k") == F.col("m.k")) & (F.col("r.h") == F.col("m.h")) & F.col("r.doc_id").eqNullSafe(F.col("m.class_id"))
+    found = rows.join(own, same).select("r.*", *[F.col(f"m.{c}") for c in ("id", "size", "comp", "blocks", "b")]).dropDuplicates(["k", "h", "doc_id"]).drop("k", "h", "doc_id")
     found = found.mapInArrow(hashed, "id long, size long, comp long, blocks int, b int, grams binary")
     dealt = found.select("id", "size", "comp", "b", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     dealt = dealt.select("id", "size", "comp", "b", "grams", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
