@@ -48,12 +48,12 @@ OWN_GROWTH = 8
 WIDTH = 32
 #: Steps on a sample, before the pass over all pairs, and the rounds of that pass.
 STEPS = 3000
-ROUNDS = 4
+ROUNDS = 2
 BATCH, NOISE = 1024, 192
 #: Rows of the model's tables that meet in a task.
 ROWS_A_BLOCK = 1024
 #: Rows of words that a task counts before it passes them on.
-HELD_ROWS = 1_500_000
+HELD_ROWS = 750_000
 REST = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("shape", T.IntegerType()), T.StructField("n", T.LongType())]))
 
 _LAST = np.full(256, 35, np.int64)

@@ -91,6 +91,14 @@ def base_scores(rows):
         yield d, h, len(w) + 1, sum(count[x] > 0 for x in w) + (ends > 0), n, sum(score(count[x]) for x in w) + score(ends)
 
 
+def shape(word):
+    """Number of a word's shape: its last byte's kind, its length's step, whether it has bytes outside ASCII."""
+    data = word.encode()
+    last = chr(data[-1]) if data[-1] < 128 else None
+    kind = 36 if last is None else ord(last) - 97 if "a" <= last <= "z" else 26 if last in "0123456789" else 27 + ".,!$#*%&".index(last) if last in ".,!$#*%&" else 35
+    return (kind * 3 + (len(data) >= 5) + (len(data) >= 9)) * 2 + any(b > 127 for b in data)
+
+
 def posteriors(patterns, counts, rounds, votes, documents, label_error):
     """The posterior of good of each pattern (votes -1 or 0, then a label), a pattern and a class at a time."""
     n = len(patterns[0]) - 1

@@ -1,5 +1,6 @@
 """The operators' own interfaces: clashing names, formats, properties."""
 
+import dataclasses
 import gzip
 import struct
 import zlib
@@ -328,6 +329,46 @@ def test_classes_and_training_grow_with_the_tokens(spark):
     assert np.allclose(trained.normalisers, [trained.model.normalisers(i, i + 1)[0] for i in range(trained.classes.n)], atol=1e-4)
 
 
+def test_scores_are_the_plain_ones(spark, odd):
+    """Each text's score beside one worked out a token at a time, with words in the head, out of it, and unknown."""
+    texts = spark.createDataFrame([(f"{prose(i, 80)} once{i} é{i}",) for i in range(40)], "text string")
+    trained, counts = lm.learn(texts, head=30, own_class=10, steps=50)
+    said = {r["word"]: r["n"] for r in counts.collect()}
+    own = trained.classes.own.to_pylist()
+    got = {r["doc_id"]: r["score"] for r in lm.score(odd.where("doc_id < 15 and doc_id <> 3"), trained, counts, ["doc_id"]).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in odd.where("doc_id < 15 and doc_id <> 3").collect()]
+    m = trained.model
+    for doc_id, text in rows:
+        want, context = 0.0, trained.classes.end
+        for word in [*plain.PLAIN.findall(plain.low(text or "")), None]:
+            if word is None:
+                target, inside = trained.classes.end, 0.0
+            elif word in own:
+                target, inside = own.index(word), 0.0
+            else:
+                shape = plain.shape(word)
+                target, n = len(own) + shape, said.get(word, 0)
+                share = (n - trained.shape_discount[shape]) / trained.shape_total[shape] if n else trained.shape_unknown[shape]
+                inside = np.log10(share)
+            scores = (m.targets.astype(float) @ m.contexts[context].astype(float)) + m.bias
+            want += (scores[target] - np.log(np.exp(scores).sum())) / np.log(10) + inside
+            context = target
+        assert abs(got[doc_id] - want) < 1e-3 * max(1, abs(want)), doc_id
+
+
+def test_better_than_single_words(spark, sf_dir):
+    """On documents it hasn't seen, beside the same classes and discounts without any context."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    hidden = F.col("doc_id") % 5 == 0
+    trained, counts = lm.learn(docs.where(~hidden).select("text"))
+    n = np.concatenate([trained.head_counts[: len(trained.classes.own)], trained.shape_total, [trained.ends]]) + 0.5
+    none = np.zeros((len(n), 2), np.float32)
+    alone = dataclasses.replace(trained, model=lm.LogBilinear(none, none, np.log(n / n.sum()).astype(np.float32)), normalisers=np.zeros(len(n)))
+    total = lambda t: lm.score(docs.where(hidden), t, counts, ["doc_id"]).agg(F.sum("score"), F.sum("n_tokens")).first()
+    (with_context, tokens), (without, _) = total(trained), total(alone)
+    assert with_context / tokens > without / tokens + 0.1
+
+
 def test_all_pairs_are_learnt(spark):
     """Words follow each other in pairs; the sample alone, of one step, knows nothing of them."""
     texts = spark.createDataFrame([(" ".join(f"{w} {w}x" for w in (f"w{(i * 7 + j) % 40}" for j in range(200))),) for i in range(300)], "text string").repartition(4)
