@@ -83,9 +83,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    dims = {"size": F.log2(size), "source": shards.text_place(F.col("source")), "lang": shards.text_place(F.col("lang"))}
+    dims = {"size": F.log2(size), "source": F.col("source"), "lang": F.col("lang")}
     keep = {"doc_id": F.col("doc_id"), "size": size.cast("long"), "text_crc32": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))}
-    rows = shards.assign(docs, dims, size, [F.col("text"), F.col("doc_id")], keep)
+    rows = shards.assign(docs, dims, size, F.coalesce("text", F.lit("")), [F.col("doc_id")], keep)
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 

@@ -391,7 +391,7 @@ def test_the_curve_visits_each_cell_once_and_next_to_the_last():
 
 def test_sizes_near_equal(spark, odd):
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    got = shards.assign(odd, {"size": size}, size, [F.col("text")], {"doc_id": F.col("doc_id"), "n": size}, shards=3, law="bytes")
+    got = shards.assign(odd, {"size": size}, size, F.col("text"), [F.col("doc_id")], {"doc_id": F.col("doc_id"), "n": size}, shards=3, law="bytes")
     rows = got.collect()
     sums = {s: sum(r["n"] for r in rows if r["shard"] == s) for s in range(3)}
     assert max(sums.values()) - min(sums.values()) <= 2 * max(r["n"] for r in rows)
@@ -400,6 +400,51 @@ def test_sizes_near_equal(spark, odd):
         assert slots == list(range(len(slots)))
 
 
+@pytest.mark.parametrize("rows_a_part", [20_000, 7])
+def test_equal_texts_stay_together(spark, rows_a_part):
+    """Copies of a text differ in source and language; only the ends of runs split a group, or its size."""
+    r = np.random.default_rng(5)
+    texts = [f"text {i}" for i in range(300) for _ in range(int(r.integers(1, 6)))] + ["hot"] * 200
+    rows = [(i, t, str(r.choice(["en", "de", "fr"])), f"https://example.org/{int(r.integers(0, 9))}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = shards.assign(df, {"source": F.col("source"), "lang": F.col("lang")}, F.length("text"), F.col("text"), [F.col("doc_id")], {"doc_id": F.col("doc_id"), "text": F.col("text")}, rows_a_part=rows_a_part).collect()
+    sizes = [sum(x["shard"] == i for x in got) for i in range(16)]
+    assert max(sizes) - min(sizes) <= 1
+    where, place = {}, {}
+    for x in got:
+        where.setdefault(x["text"], set()).add(x["shard"])
+        place.setdefault(x["text"], []).append(sum(sizes[: x["shard"]]) + x["slot"])
+    assert sum(len(s) > 1 for s in where.values()) <= 15
+    assert all(max(p) - min(p) == len(p) - 1 for p in place.values())  # next to each other, across a run's end too
+
+
+def test_texts_are_cut_by_whole_strings(spark):
+    values = [f"https://example.org/{i:03d}" for i in range(100) for _ in range(1 + 3 * (i == 50))]
+    df = spark.createDataFrame([(v, None if i % 9 else "x") for i, v in enumerate(values)], "a string, b string")
+    cuts = shards.quantiles(df, {"a": F.col("a"), "b": F.col("b")}, 4)
+    assert len(cuts["a"]) == 3 and cuts.get("b", []) == []
+    parts = [sum((c < v) for c in cuts["a"]) for v in values]
+    assert max(parts.count(i) for i in range(4)) - min(parts.count(i) for i in range(4)) <= 4
+    assert shards.quantiles(df.where("false"), {"a": F.col("a")}, 4).get("a", []) == []
+
+
+def test_files_are_pruned_in_every_dimension(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang", "source", (F.octet_length("text") + 1).alias("size"))
+    keep = {c: F.col(c) for c in ("doc_id", "lang", "source", "size")}
+    placed = shards.assign(docs, {"size": F.log2("size"), "source": F.col("source"), "lang": F.col("lang")}, F.col("size"), F.col("text"), [F.col("doc_id")], keep)
+    told = shards.write(placed, str(tmp_path / "hilbert"), ["lang", "source", "size"], rows_a_file=16)
+    plain_order = shards.write(placed.withColumn("slot", F.floor(F.col("doc_id") / 16)).withColumn("shard", F.pmod("doc_id", F.lit(16)).cast("int")), str(tmp_path / "hash"), ["lang", "source", "size"], rows_a_file=16)
+    every, asked = told.count(), {"lang": ("de", "de"), "source": ("src3", "src5"), "size": (1, 700)}
+    files = {(r["shard"], r["file"]) for r in shards.pruned(told, **asked).collect()}
+    assert len(files) < every / 4 < shards.pruned(plain_order, **asked).count()
+    for one in asked:  # each dimension alone prunes too
+        assert shards.pruned(told, **{one: asked[one]}).count() < 0.8 * every
+    back = spark.read.parquet(str(tmp_path / "hilbert" / "rows"))
+    assert back.count() == docs.count()
+    needed = back.where("lang = 'de' and source between 'src3' and 'src5' and size <= 700").select("shard", "file").distinct().collect()
+    assert needed and {tuple(r) for r in needed} <= files
+
+
 # url rules
 
 
@@ -538,7 +583,7 @@ def test_clashing_columns(spark, clashing, odd_rows):
         neardup.similar_groups(clashing),
         quality.score(clashing, quality.fit(clashing, spark.createDataFrame([], "doc_id long, quality int, toxic int"))),
         token_counts.count_tokens(clashing, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "n_tokens")),
-        shards.assign(clashing, {"n": F.col("n_chars")}, F.col("n_chars"), [F.col("text")], {"doc_id": F.col("doc_id"), "shard": F.col("source")}),
+        shards.assign(clashing, {"n": F.col("n_chars")}, F.col("n_chars"), F.col("text"), [F.col("doc_id")], {"doc_id": F.col("doc_id"), "shard": F.col("source")}),
         lm.score(clashing, *lm.learn(clashing.select("text"), steps=20), ["doc_id", "score", "rest"]),
         url_rules.judge(clashing.withColumn("url", F.col("text")), url_rules.rules_frame(spark, [("a", "/", "allow")]), keep=("doc_id", "host", "score")),
     ]

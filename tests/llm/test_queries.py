@@ -99,6 +99,12 @@ def test_shards(spark, tables):
         by_shard[r["shard"]].append(r["curve"])
     order = sorted(by_shard)
     assert all(max(by_shard[a]) <= min(by_shard[b]) for a, b in zip(order, order[1:], strict=False))
+    text = {d: t or "" for d, t in rows if d is not None}
+    where = defaultdict(set)
+    for r in got:
+        if r["doc_id"] is not None:
+            where[text[r["doc_id"]]].add(r["shard"])
+    assert sum(len(s) > 1 for s in where.values()) <= 15  # groups of equal texts are split by the ends of runs only
 
 
 def test_quality(spark, tables):
