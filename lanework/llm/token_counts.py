@@ -40,7 +40,10 @@ def library(path: str):
         return sentencepiece.SentencePieceProcessor(model_file=path)
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    return own
 
 
 def cuttable(path: str) -> bool:
@@ -91,12 +94,13 @@ def counts(texts: list[str | None], path: str, batch_bytes: int = BATCH_BYTES, m
 
     for i, text in enumerate(texts):
         for piece in (pieces(text, most) if split else [text]) if text else []:
-            if held and size + len(piece) > batch_bytes:
+            n = len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
+            if held and size + n > batch_bytes:
                 flush()
                 size = 0
             held.append(piece)
             owners.append(i)
-            size += len(piece)
+            size += n
     if held:
         flush()
     return out

@@ -3,6 +3,7 @@
 import dataclasses
 import gzip
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -60,6 +61,30 @@ def test_broken_structure_is_no_object():
     assert media.objects(b"BM and GIF89a and RIFF are just words") == []
 
 
+@pytest.mark.parametrize("header", [b"%PDF-1.4 ", b"%PDF-1.4 startxref ", b"\x1f\x8b\x08\x08aaaaaaaa", b"\x1f\x8b\x08\x00aaaaaa", b"\0\0\0\x08ftyp", b"OggS\0\2" + b"\0" * 21, png()[:33], b"RIFF\0\0\1\0WAVEfmt ", b"\xff\xd8\xff\xfe\0\4ab\xff\xfe\0\4ab", b"GIF89a\1\0\1\0\0\0\0!ab"])
+def test_values_full_of_headers_take_time_in_proportion(header):
+    def seconds(n):
+        data = (header * (n // len(header) + 1))[:n]
+        began = time.process_time()
+        media.objects(data)
+        return time.process_time() - began
+
+    assert seconds(800_000) < 8 * max(min(seconds(200_000) for _ in range(2)), 0.03)
+
+
+def test_gzip_is_checked_to_its_end():
+    data = gzip.compress(b"x" * 5_000_000)
+    assert media.objects(data) == [("application/gzip", 0, len(data))]
+    named = b"\x1f\x8b\x08\x18" + b"\0" * 6 + b"name\0comment\0" + gzip.compress(b"hello")[10:]
+    assert media.objects(b"1" + named + b"2") == [("application/gzip", 1, len(named))]
+    assert media.objects(data[:-3] + b"abc") == []
+
+
+def test_features_are_sums_over_samples():
+    assert media.feature_of("audio/wav", bytes([0, 255, 3, 200])) == "audio/wav;frames=4;sum=458;square=105034;low=0;high=255;crossings=3"
+    assert media.feature_of("audio/wav", b"") == "audio/wav;frames=0"
+
+
 def test_embedded_are_carved(spark):
     inner = SAMPLES["image/png"]
     df = spark.createDataFrame([(1, wav(b"xx" + inner), "image/gif"), (2, None, "a/b"), (3, b"", None)], "id int, media binary, declared_type string")
@@ -296,6 +321,26 @@ def test_pieces_add_up():
     assert token_counts.counts([text, None, ""], path, most=100) == [token_counts.lengths([text], path)[0], 0, 0]
 
 
+def test_batches_are_of_equal_bytes(monkeypatch):
+    batches = []
+    monkeypatch.setattr(token_counts, "lengths", lambda texts, path: batches.append(sum(len(t.encode()) for t in texts)) or [1] * len(texts))
+    monkeypatch.setattr(token_counts, "cuttable", lambda path: False)
+    assert token_counts.counts(["a" * 400, "😀" * 100] * 20, "x", batch_bytes=2000) == [1] * 40
+    assert len(batches) == 8 and max(batches) == 2000
+
+
+def test_truncation_and_padding_are_off(tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    own.enable_truncation(3)
+    own.enable_padding(length=64)
+    own.save(str(tmp_path / "cut.json"))
+    text = "one two three four five six"
+    assert token_counts.lengths([text, "one"], str(tmp_path / "cut.json")) == token_counts.lengths([text, "one"], path)
+
+
 def test_sentence_pieces():
     path = public_tokenizers.path("piece_bpe_32k.model")
     assert not token_counts.cuttable(path)

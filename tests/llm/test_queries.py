@@ -1,6 +1,7 @@
 """Each query over odd, empty and real small tables, beside plain versions, libraries and SQL."""
 
 import hashlib
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -33,8 +34,11 @@ def test_media(spark, tables):
     for doc_id, text in documents(spark, tables):
         data = (text or "").encode()
         payload = data + b"\0" * (max(1, -(-len(data) // 64)) * 64 - len(data))
-        want.append((doc_id, len(data), len(payload), plain.sha(payload), zlib.crc32(payload[-64:]), len(payload) + 44))
-    same([tuple(r)[:6] for r in got], want)
+        stored = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        up = [x > 127 for x in payload]
+        feature = f"audio/wav;frames={len(payload)};sum={sum(payload)};square={sum(x * x for x in payload)};low={min(payload)};high={max(payload)};crossings={sum(a != b for a, b in zip(up, up[1:], strict=False))}"
+        want.append((doc_id, len(data), len(payload), plain.sha(payload), zlib.crc32(payload[-64:]), len(stored), plain.sha(stored), feature))
+    same([tuple(r)[:8] for r in got], want)
     assert all(r["valid"] and r["media_type"] == "audio/wav" for r in got)
 
 
