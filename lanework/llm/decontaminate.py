@@ -8,8 +8,10 @@ offset in the phrase, are possible beginnings, and each further term's list, mov
 left, until nothing is.  `proximity` finds spans that hold all terms of a phrase, in any order, in so many words more.
 
 Scale: segments are independent tasks of bounded size.  The test items are searched in blocks of bounded size
-(BLOCK_BYTES): only one block at a time is sent out, whatever the benchmark's size, and every block meets every segment.
-A document's results of several blocks meet in one grouping by (segment, place).
+(BLOCK_BYTES): only one block at a time is read by the driver and sent out, whatever the benchmark's size; its results are
+written to the shared folder before it is destroyed and the next one is read.  Every block meets every segment, so a
+benchmark of b blocks reads the index b times.  A document's results of several blocks meet in one grouping by (segment,
+place), of documents that were hit.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no window and never occurs; an
 item of fewer words than the window's is one window; items with equal text each count; null item ids are left out of the
@@ -25,7 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,9 +169,8 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text",
         yield ids, texts
 
 
-def _searched(index: DataFrame, ids: list, texts: list[str], window: int) -> DataFrame:
+def _searched(index: DataFrame, block: Broadcast, window: int) -> DataFrame:
     """(seg, at, n_words, spans, items) of each document: [begin, end) of hit words, and the ids of items that occur."""
-    block = index.sparkSession.sparkContext.broadcast((ids, texts))
     state: dict[str, Phrases] = {}
 
     def run(batches):
@@ -213,17 +215,30 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(spans: Column) -> Column:
+    """Sorted spans, those that meet made one."""
+    empty = F.array().cast("array<struct<begin:long,end:long>>")
+    last = lambda done: F.element_at(done, -1)
+    longer = lambda done, s: F.struct(last(done)["begin"].alias("begin"), F.greatest(last(done)["end"], s["end"]).alias("end"))
+    meets = lambda done, s: (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["begin"])
+    return F.aggregate(F.array_sort(spans), empty, lambda done, s: F.when(meets(done, s), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer(done, s)))).otherwise(F.concat(done, F.array(s))))
+
+
 def find_exact(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(seg, at, n_words, spans, n_items, items) for each indexed document."""
-    found = [_searched(index, ids, texts, window) for ids, texts in item_blocks(items, item_id, text, block_bytes)]
-    if len(found) < 2:
-        return found[0] if found else _searched(index, [], [], window)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    every = every.groupBy("seg", "at").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    merged = F.udf(lambda spans: merge([tuple(s) for s in spans]), "array<struct<begin:long,end:long>>")
-    return every.withColumn("spans", merged("spans"))
+    context, blocks = index.sparkSession.sparkContext, item_blocks(items, item_id, text, block_bytes)
+    block, more = next(blocks, ([], [])), next(blocks, None)
+    if more is None:
+        return _searched(index, context.broadcast(block), window)
+    hits = None
+    while block is not None:
+        sent = context.broadcast(block)
+        found = written(_searched(index, sent, window), "hits")
+        sent.destroy()
+        hits = found if hits is None else hits.unionByName(found.where("n_items > 0"))  # the first block's rows are all documents
+        block, more = more, next(blocks, None)
+    every = hits.groupBy("seg", "at").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    return every.withColumn("spans", _joined(F.col("spans")))
 
 
 def find_near(index: DataFrame, phrases: list[str], slack: int = 3) -> DataFrame:

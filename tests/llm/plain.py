@@ -36,6 +36,20 @@ def decontaminated(rows, items, window=10):
         yield doc_id, len(w), len(hit), len(found), sha(",".join(ids)), bool(hit)
 
 
+def near(text, phrase, slack):
+    """Merged [begin, end) that hold all words of the phrase within its length and `slack` words more."""
+    w, asked = ALNUM.findall(low(text or "")), ALNUM.findall(low(phrase))
+    out = []
+    for a in range(len(w)):
+        b = next((b for b in range(a + 1, min(len(w), a + len(asked) + slack) + 1) if set(asked) <= set(w[a:b])), None)
+        if asked and w[a] in asked and b is not None:
+            if out and a <= out[-1][1]:
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            else:
+                out.append((a, b))
+    return out
+
+
 def without_repeats(rows, window=35):
     words = [PLAIN.findall(t or "") for _, t in rows]
     seen = Counter(tuple(w[s : s + window]) for w in words for s in range(len(w) - window + 1))

@@ -151,6 +151,17 @@ def test_blocks_of_items_give_the_same(spark, odd):
     assert sorted(one.select(cols).collect()) == sorted(many.select(cols).collect()) and one.where("n_items > 0").count()
 
 
+def test_near_words_beside_the_plain_search(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(r.choice(list("abcdefg"), int(r.integers(0, 40))))) for i in range(60)] + [(60, None), (61, "A a B")]
+    phrases = ["a b", "c d e", "a a f g", "x y", ""]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = decontaminate.build_index(docs)
+    found = decontaminate.with_columns(index, decontaminate.find_near(index, phrases, slack=2), docs.schema, ["doc_id"])
+    want = [(d, p, a, b) for d, t in rows for p in phrases for a, b in plain.near(t, p, 2)]
+    assert sorted(tuple(x) for x in found.select("doc_id", "phrase", "begin", "end").collect()) == sorted(want) and want
+
+
 # substring dedup
 
 
