@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from lanework.plans.parsers import lines as L
 
-HEADS = [("header_rank", L.RANK_HEAD), ("header_year", L.YEAR_HEAD), ("header_time_points", L.TIME_HEAD), ("footer_registered", L.REGISTERED), ("footer_page", L.FOOT)]
+HEADS = {"rank_head": "header_rank", "year_head": "header_year", "time_head": "header_time_points", "registered": "footer_registered", "foot": "footer_page"}
 
 
 class Fields:
@@ -22,7 +22,7 @@ class Fields:
         return bool(self.name or self.time or self.club or self.splits)
 
     def row(self) -> dict:
-        return {"swimmer_name": L.name_of(self.name), "birth_year": self.year, "club": L.club_of(" ".join(self.club)), "split_times": self.splits, "points": self.points}
+        return {"swimmer_name": L.swimmer_name(self.name), "birth_year": self.year, "club": L.result_club(" ".join(self.club)), "split_times": self.splits, "points": self.points}
 
 
 class ResultList:
@@ -58,16 +58,17 @@ class ResultList:
             line = self.doc[self.at]
             if label := self.doc.fixed_label(self.at, HEADS):
                 self.take(label)
-            elif L.DISK.match(line):
+            elif (kind := L.look(line).kind) == "disk":
                 self.disqualified()
-            elif L.TD.match(line):
+            elif kind == "td":
                 self.out_of_competition()
-            elif m := L.EVENT_LINE.match(line):
+            elif kind == "event":
+                m = L.EVENT_LINE.match(line)
                 parts = [p.strip() for p in m[2].split(";") if p.strip()]
                 self.begin_event(m[1], "; ".join(parts[:2]) or None, parts[2] if len(parts) > 2 else None)
                 self.take("event_header")
-            elif m := L.EVENT_NUMBER.match(line):
-                self.event_in_lines(m[1])
+            elif kind == "event_number":
+                self.event_in_lines(L.EVENT_NUMBER.match(line)[1])
             elif not self.record():
                 self.at += 1
         notes = self.doc.annotations()
@@ -96,7 +97,7 @@ class ResultList:
 
     def in_special(self) -> bool:
         """A special block ends at headings, events, footers and markers."""
-        return self.more() and not L.is_heading(self.doc[self.at])
+        return self.more() and not L.look(self.doc[self.at]).kind
 
     def special(self, kind: str, fields: Fields, start: int, end: int, marker: str, page: int | None, **more) -> dict:
         base = {"status": None, "rule": None, "note_time": None, "notes": [], **more}
@@ -108,10 +109,10 @@ class ResultList:
         f, notes, rule, status, note_time = Fields(), [], None, "DQ", None
         while self.in_special():
             line = self.doc[self.at]
-            if f.name is None and not L.YEAR.fullmatch(line):
-                f.name = L.name_of(self.take("special_swimmer_name"))
+            if f.name is None and not L.look(line).year:
+                f.name = L.swimmer_name(self.take("special_swimmer_name"))
                 self.name_goes_on(f, "special_swimmer_name_continuation")
-            elif f.year is None and L.YEAR.fullmatch(line):
+            elif f.year is None and L.look(line).year:
                 f.year = self.take("special_birth_year")
             elif rule is None and L.RULE.fullmatch(line):
                 rule = self.take("special_rule")
@@ -120,12 +121,12 @@ class ResultList:
                 notes.append(self.take("special_note_time"))
             elif L.STATUS.fullmatch(line):
                 status = self.take("special_status").upper()
-            elif f.time is None and L.time_and_sides(line)[0]:
-                f.time, left, right = L.time_and_sides(self.take("special_time_line"))
-                f.club += [x for x in (left, "" if L.POINTS.fullmatch(right) else right) if x]
-                if self.at <= len(self.doc) and L.POINTS.fullmatch(self.doc[self.at]):
+            elif f.time is None and L.around_time(line)[0]:
+                f.time, left, right = L.around_time(self.take("special_time_line"))
+                f.club += [x for x in (left, "" if L.look(right).points else right) if x]
+                if self.at <= len(self.doc) and L.look(self.doc[self.at]).points:
                     f.points = self.take("special_points_line")
-            elif f.points is None and f.time is not None and L.POINTS.fullmatch(line):
+            elif f.points is None and f.time is not None and L.look(line).points:
                 f.points = self.take("special_points_line")
             else:
                 said = self.take("special_note_or_club")
@@ -144,7 +145,7 @@ class ResultList:
                 entries.append([])
                 timed = False
             entries[-1].append((i, line))
-            timed = timed or bool(L.TIME.search(line))
+            timed = timed or bool(L.look(line).timed)
         for entry in entries:
             self.specials.append(self.entry(entry, marker, page))
 
@@ -155,31 +156,31 @@ class ResultList:
             named = L.re.fullmatch(r"(.+?)\s+(\d{2})", said)
             if not said:
                 notes.append(line)
-            elif f.name is None and L.YEAR.fullmatch(said):
+            elif f.name is None and L.look(said).year:
                 f.year = said
-            elif f.name is None and named and not L.TIME.search(said):
-                f.name, f.year = L.name_of(named[1]), named[2]
+            elif f.name is None and named and not L.look(said).timed:
+                f.name, f.year = L.swimmer_name(named[1]), named[2]
             elif f.name is None:
-                f.name = L.name_of(said)
-            elif f.year is None and L.YEAR.fullmatch(said):
+                f.name = L.swimmer_name(said)
+            elif f.year is None and L.look(said).year:
                 f.year = said
-            elif L.PURE_TIME.fullmatch(said):
-                f.splits.append(L.time_of(said))
+            elif L.look(said).pure:
+                f.splits.append(L.clock(said))
             elif f.time is None and (total := L.total_of(said, True))[0]:
                 f.time, points, rest = total
                 f.points = f.points or points
                 f.club += [rest] if rest else []
-            elif f.points is None and L.POINTS.fullmatch(said):
+            elif f.points is None and L.look(said).points:
                 f.points = said
             else:
                 f.club.append(said)
                 notes.append(line)
-        f.time = L.time_of(f.time) if f.time else None
+        f.time = L.clock(f.time) if f.time else None
         return self.special("td", f, entry[0][0], entry[-1][0], marker, page, notes=notes)
 
     def name_goes_on(self, f: Fields, label: str) -> None:
-        while self.at <= len(self.doc) and self.doc[self.at] and L.goes_on_name(self.doc[self.at]):
-            f.name = L.name_of(f"{f.name} {self.take(label)}")
+        while self.at <= len(self.doc) and self.doc[self.at] and L.look(self.doc[self.at]).more_name:
+            f.name = L.swimmer_name(f"{f.name} {self.take(label)}")
 
     # ranked records
 
@@ -191,24 +192,24 @@ class ResultList:
             for i, label in ((first, "swimmer_name"), (year, "birth_year"), (rank_at, "rank_line")):
                 self.doc.label(i, label)
             self.at = rank_at + 1
-            self.body(rank, Fields(L.name_of(self.doc[first]), self.doc[year]), first)
+            self.body(rank, Fields(L.swimmer_name(self.doc[first]), self.doc[year]), first)
             return True
         rank, name = self.doc.rank(first), None
         if rank is None:
-            rank, name = L.rank_and_name(self.doc[first]) or (None, None)
+            rank, name = L.look(self.doc[first]).ranked or (None, None)
         if rank is None:
             return False
         if not self.rank_last(rank):
             self.take("rank_line")
-            self.body(rank, Fields(L.name_of(name)), first)
+            self.body(rank, Fields(L.swimmer_name(name)), first)
         return True
 
     def name_first(self) -> tuple[int, int, int] | None:
         """Name, year, rank in three lines: (line of the year, of the rank, the rank)."""
-        if not L.is_swimmer(self.doc[self.at]):
+        if not L.look(self.doc[self.at]).swimmer:
             return None
         year = self.doc.after[self.at]
-        rank_at = self.doc.after[year] if year and L.YEAR.fullmatch(self.doc[year]) else None
+        rank_at = self.doc.after[year] if year and L.look(self.doc[year]).year else None
         rank = self.doc.rank(rank_at) if rank_at else None
         return (year, rank_at, rank) if rank is not None else None
 
@@ -216,24 +217,24 @@ class ResultList:
         """Name, year, [club], time, rank, points: seen from the rank, behind a line with a time and before points."""
         doc, at = self.doc, self.at
         points, timed = doc.after[at], doc.before[at]
-        if not points or not timed or not L.POINTS.fullmatch(doc[points]) or not L.TIME.search(doc[timed]):
+        if not points or not timed or not L.look(doc[points]).points or not L.look(doc[timed]).timed:
             return False
         for club in (None, doc.before[timed]):
             year = doc.before[club or timed]
             name = doc.before[year] if year else None
-            if name and L.YEAR.fullmatch(doc[year]) and L.is_swimmer(doc[name]):
+            if name and L.look(doc[year]).year and L.look(doc[name]).swimmer:
                 break
         else:
             return False
-        time, _, rest = L.total_of(doc[timed], (L.distance_of(self.event) or 0) >= 100)
+        time, _, rest = L.total_of(doc[timed], (L.metres(self.event) or 0) >= 100)
         if not time:
             return False
-        f = Fields(L.name_of(doc[name]), doc[year])
+        f = Fields(L.swimmer_name(doc[name]), doc[year])
         f.club, f.points = [x for x in (doc[club], rest) if x], doc[points]
         for i, label in ((name, "swimmer_name"), (year, "birth_year"), (club, "club_line"), (timed, "time_line"), (at, "rank_line"), (points, "points_line")):
             if i:
                 doc.label(i, label)
-        self.add(rank, f, L.time_of(time), name, points)
+        self.add(rank, f, L.clock(time), name, points)
         self.at = points + 1
         return True
 
@@ -242,60 +243,60 @@ class ResultList:
 
     def ends_body(self, f: Fields) -> bool:
         line = self.doc[self.at]
-        if any(p.match(line) for p in (L.PAGE, L.VERSION_LINE, L.EVENT_LINE, L.EVENT_NUMBER, L.DISK, L.TD)):
+        if L.look(line).kind in L.ENDS:
             return True
-        if f.any() and (L.rank_and_name(line) or self.doc.rank(self.at) is not None):
+        if f.any() and (L.look(line).ranked or self.doc.rank(self.at) is not None):
             return True
         year = self.doc[self.doc.after[self.at]]
-        return bool((f.time is not None or f.points is not None or f.splits) and L.is_swimmer(line) and year and L.YEAR.fullmatch(year))
+        return bool((f.time is not None or f.points is not None or f.splits) and L.look(line).swimmer and year and L.look(year).year)
 
     def body(self, rank: int, f: Fields, start: int) -> None:
         """Lines after the rank, up to what begins something else."""
-        distance = L.distance_of(self.event) or 0
+        distance = L.metres(self.event) or 0
         expected, long = (distance // 50, True) if distance >= 100 else (0, False)
         while self.more() and not self.ends_body(f):
             line = self.doc[self.at]
             open_splits = len(f.splits) < expected
-            if f.name is None and not L.YEAR.fullmatch(line):
-                f.name = L.name_of(self.take("swimmer_name"))
+            if f.name is None and not L.look(line).year:
+                f.name = L.swimmer_name(self.take("swimmer_name"))
                 self.name_goes_on(f, "swimmer_name_continuation")
-            elif f.year is None and L.YEAR.fullmatch(line):
+            elif f.year is None and L.look(line).year:
                 f.year = self.take("birth_year")
-            elif open_splits and L.PURE_TIME.fullmatch(line) and self.is_total(f):
-                f.time = L.time_of(self.take("time_line"))
+            elif open_splits and L.look(line).pure and self.is_total(f):
+                f.time = L.clock(self.take("time_line"))
                 self.more()
                 self.points(f)
-            elif open_splits and ((L.PURE_TIME.fullmatch(line) and (f.time is not None or not self.next_begins())) or L.GLUED_TIME.fullmatch(line)):
-                f.splits.append(L.time_of(self.take("split_time_line")))
+            elif open_splits and ((L.look(line).pure and (f.time is not None or not self.next_begins())) or L.look(line).glued):
+                f.splits.append(L.clock(self.take("split_time_line")))
             elif f.time is None and (total := L.total_of(line, long))[0]:
                 self.take("time_line")
                 f.time, points, rest = total
                 f.club += [rest] if rest else []
                 f.points = f.points or points
                 self.points(f)
-            elif f.points is None and (f.time is not None or f.splits) and L.POINTS.fullmatch(line):
+            elif f.points is None and (f.time is not None or f.splits) and L.look(line).points:
                 f.points = self.take("points_line")
-            elif L.is_status(line):
+            elif L.look(line).status:
                 self.take("status_note")
             else:
                 f.club.append(self.take("club_line"))
-        self.add(rank, f, L.time_of(f.time) if f.time else None, start, self.at - 1)
+        self.add(rank, f, L.clock(f.time) if f.time else None, start, self.at - 1)
 
     def points(self, f: Fields) -> None:
-        if f.points is None and self.at <= len(self.doc) and L.POINTS.fullmatch(self.doc[self.at]):
+        if f.points is None and self.at <= len(self.doc) and L.look(self.doc[self.at]).points:
             f.points = self.take("points_line")
 
     def is_total(self, f: Fields) -> bool:
         """A lone time where splits are expected is the total if points follow, and behind them the end, another time,
         or something that can't belong to this record."""
         points = self.doc.after[self.at]
-        if f.time is not None or not points or not L.POINTS.fullmatch(self.doc[points]):
+        if f.time is not None or not points or not L.look(self.doc[points]).points:
             return False
         then = self.doc.after[points]
-        return then is None or self.begins(then) or bool(L.PURE_TIME.fullmatch(self.doc[then]) or L.GLUED_TIME.fullmatch(self.doc[then])) or any(p.match(self.doc[then]) for p in (L.PAGE, L.VERSION_LINE, L.EVENT_LINE, L.EVENT_NUMBER, L.DISK, L.TD))
+        return then is None or self.begins(then) or bool(L.look(self.doc[then]).pure or L.look(self.doc[then]).glued) or L.look(self.doc[then]).kind in L.ENDS
 
     def begins(self, i: int) -> bool:
-        return self.doc.rank(i) is not None or L.is_swimmer(self.doc[i]) or L.rank_and_name(self.doc[i]) is not None
+        return self.doc.rank(i) is not None or L.look(self.doc[i]).swimmer or L.look(self.doc[i]).ranked is not None
 
     def next_begins(self) -> bool:
         """Whether the next line begins a record; its rank is judged by the lines around the line after this one."""
@@ -304,7 +305,7 @@ class ResultList:
             return False
         near = self.at + 1
         rank = L.rank_of(self.doc[then], self.doc[self.doc.before[near]], self.doc[self.doc.after[near]])
-        return rank is not None or L.rank_and_name(self.doc[then]) is not None or L.is_swimmer(self.doc[then])
+        return rank is not None or L.look(self.doc[then]).ranked is not None or L.look(self.doc[then]).swimmer
 
 
 def parse(text: str) -> dict:

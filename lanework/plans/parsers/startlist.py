@@ -69,10 +69,17 @@ def described_entries(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def keyed_entries(docs: DataFrame, doc: str, text: str, event: str) -> DataFrame:
-    """Entries of all lists in order, each with `{event}-{n:06d}`; numbers are given before rows without a name go."""
+    """Entries of all lists in order, each with `{event}-{n:06d}`; numbers are given before rows without a name go.
+
+    Entries are numbered inside their list, from the running count of the lists before it: the only window over everything
+    has a row for each list.
+    """
     rows = described_entries(docs, doc, text)
-    n = F.row_number().over(Window.orderBy(doc, "line_no"))  # the entries of one meet
-    return rows.withColumn("startlist_unique_name", F.format_string("%s-%06d", F.lit(event), n)).where(F.trim(F.coalesce("name", F.lit(""))) != "")
+    before = Window.orderBy(doc).rowsBetween(Window.unboundedPreceding, -1)
+    lists = rows.groupBy(doc).agg(F.count(F.lit(1)).alias("__n")).select(doc, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rows = rows.join(lists, doc)
+    n = (F.row_number().over(Window.partitionBy(doc).orderBy("line_no")) + F.col("__before")).cast("int")
+    return rows.withColumn("startlist_unique_name", F.format_string("%s-%06d", F.lit(event), n)).drop("__before").where(F.trim(F.coalesce("name", F.lit(""))) != "")
 
 
 def header(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -104,13 +111,16 @@ def header(docs: DataFrame, doc: str, text: str) -> DataFrame:
     )
 
 
-HEADS = [("header_lane", L.LANE_HEAD), ("header_year", L.YEAR_HEAD), ("header_time", L.SEED_HEAD), ("footer_registered", L.REGISTERED), ("footer_page", L.FOOT)]
+HEADS = {"year_head": "header_year", "registered": "footer_registered", "foot": "footer_page"}
 _HEAT, _LANE, _NT = re.compile(r"^(?:Seri|Heat)\s+(\d+)\s*(?:of|/|\s+)\s*(\d+)$", re.I), re.compile(r"\d{1,2}"), re.compile("^NT$", re.I)
 
 
 def parse_lanes(text: str) -> dict:
-    """Lane, name, year, club and seed on lines of their own, with labelled lines.  A new event ends the heat."""
-    doc, at = L.Document(text), 1
+    """Lane, name, year, club and seed on lines of their own, with labelled lines.  A new event ends the heat.
+
+    Lines before any page marker are on page 1.
+    """
+    doc, at = L.Document(text, first_page=1), 1
     events: list[dict] = []
     entries: list[dict] = []
     event = heat = None
@@ -125,7 +135,7 @@ def parse_lanes(text: str) -> dict:
         line = doc[at]
         if not line:
             at += 1
-        elif label := doc.fixed_label(at, HEADS):
+        elif label := doc.fixed_label(at, HEADS) or ("header_lane" if L.LANE_HEAD.match(line) else "header_time" if L.SEED_HEAD.match(line) else None):
             take(label)
         elif L.EVENT_LINE.match(line) or L.EVENT_NUMBER.match(line):
             one = L.EVENT_LINE.match(line)
@@ -144,22 +154,22 @@ def parse_lanes(text: str) -> dict:
             take("heat_line")
         elif event and _LANE.fullmatch(line):
             row = {"event_no": event["event_no"], "event_name": event["event_name"], "heat_no": heat, "lane": take("lane_number"), "swimmer_name": None, "birth_year": None, "club": None, "seed_time": None}
-            if doc[at] and not _LANE.fullmatch(doc[at]) and not L.YEAR.fullmatch(doc[at]):
-                row["swimmer_name"] = L.name_of(take("swimmer_name"))
-                while doc[at] and L.goes_on_name(doc[at]):
-                    row["swimmer_name"] = L.name_of(f"{row['swimmer_name']} {take('swimmer_name_continuation')}")
-            if doc[at] and L.YEAR.fullmatch(doc[at]):
+            if doc[at] and not _LANE.fullmatch(doc[at]) and not L.look(doc[at]).year:
+                row["swimmer_name"] = L.swimmer_name(take("swimmer_name"))
+                while doc[at] and L.look(doc[at]).more_name:
+                    row["swimmer_name"] = L.swimmer_name(f"{row['swimmer_name']} {take('swimmer_name_continuation')}")
+            if doc[at] and L.look(doc[at]).year:
                 row["birth_year"] = take("birth_year")
-            if doc[at] and not L.PURE_TIME.fullmatch(doc[at]) and not _NT.match(doc[at]):
-                row["club"] = L.club_of(take("club"), "Tk|Fd|Td", False)
+            if doc[at] and not L.look(doc[at]).pure and not _NT.match(doc[at]):
+                row["club"] = L.start_club(take("club"))
             if doc[at] and _NT.match(doc[at]):
                 take("seed_time_nt")
                 row["seed_time"] = "NT"
-            elif doc[at] and L.PURE_TIME.fullmatch(doc[at]):
-                row["seed_time"] = L.time_of(take("seed_time"), False)
-            elif doc[at] and (found := L.time_and_sides(doc[at])[0]):
+            elif doc[at] and L.look(doc[at]).pure:
+                row["seed_time"] = L.clock(take("seed_time"), False)
+            elif doc[at] and (found := L.around_time(doc[at])[0]):
                 take("seed_time_embedded")
-                row["seed_time"] = L.time_of(found, False)
+                row["seed_time"] = L.clock(found, False)
             entries.append({**row, "page": doc.pages[at - 2]})
         else:
             take("unmatched")

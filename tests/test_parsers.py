@@ -80,12 +80,25 @@ def test_single_line_rules():
     assert L.rank_of("665", "28.45", None) is None  # points
     assert L.rank_of("14", "Ada LANE", "x") is None  # a year
     assert L.rank_of("2", "512", "Can POOL") == 2
-    assert L.rank_and_name("130. Ada LANE") is None and L.rank_and_name("72 Ada LANE") == (72, "Ada LANE") and L.rank_and_name("7 29.10") is None
-    assert L.time_of("1213.36") == "12:13.36" and L.time_of("1-02,3") == "1:02.03" and L.time_of("9") == "9" and L.time_of("123.45", False) == "123.45"
+    assert L.look("130. Ada LANE").ranked is None and L.look("72 Ada LANE").ranked == (72, "Ada LANE") and L.look("7 29.10").ranked is None
+    assert L.clock("1213.36") == "12:13.36" and L.clock("1-02,3") == "1:02.03" and L.clock("9") == "9" and L.clock("123.45", False) == "123.45"
     assert L.total_of("Club 28.45 1512", False) == ("28.45", "512", "Club") and L.total_of("3234", True) == ("32.34", None, "") and L.total_of("none", True) == (None, None, "none")
-    assert L.distance_of({"distance_style": "1OOm Serbest"}) == 100
-    assert L.club_of('"Deniz" Kulüb7 (Tk}, x') == "Deniz Kulüb x" and L.club_of(" ") is None
-    assert not L.is_swimmer("Deniz Spor LTD") and L.is_swimmer("Arda Efe") and not L.is_swimmer("arda efe")
+    assert L.metres({"distance_style": "1OOm Serbest"}) == 100
+    assert L.result_club('"Deniz" Kulüb7 (Tk}, x') == "Deniz Kulüb x" and L.result_club(" ") is None
+    assert not L.look("Deniz Spor LTD").swimmer and L.look("Arda Efe").swimmer and not L.look("arda efe").swimmer
+
+
+def test_lane_lists_as_rows(spark):
+    text = lines("Splash Meet Manager, 11.83565", "Yarış 7", "Erkekler, 50m Serbest", "Final", "Seri 1 2", "1", "Ada LANE", "09", "Deniz (Td) Spor", "28.45", "--- Page 2 ---", "2", "Can POOL", "10", "Ferdi", "NT")
+    docs = spark.createDataFrame([("a", text), ("b", None)], "doc string, text string")
+    got = [tuple(r) for r in registry.entry_rows(docs).select("doc", "kind", "row_no", "event_no", "heat_no", "lane", "swimmer_name", "club", "seed_time", "page", "error").collect()]
+    assert got == [
+        ("a", "entry", 0, "7", "1", "1", "Ada LANE", "Deniz Spor", "28.45", 1, None),
+        ("a", "entry", 1, "7", "1", "2", "Can POOL", "Ferdi", "NT", 2, None),
+    ]
+    assert registry.parser_for("11.83082") is registry.parser_for("11.83565")
+    with pytest.raises(LookupError):
+        registry.parser_for("1.2")
 
 
 def test_versions():
