@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanework.functions.text import strip, text_of
@@ -37,37 +37,39 @@ def format_key(prefix: Column, n: Column) -> Column:
     return F.concat(prefix, F.lit("-"), F.format_string("%06d", n))
 
 
-def let(x: Column, body: Callable[[Column], Column]) -> Column:
-    """body(x) with x worked out once, where repeating its expression would blow the generated code up."""
-    return F.get(F.transform(F.array(x), body), F.lit(0))
+def normal_time(x: Column, compact: bool = True) -> Column:
+    """`1:02.03` of any separators; two groups are seconds and hundredths; with `compact`, `1213.36` is `12:13.36`.
 
+    A chain of replacements, each of which leaves alone what it doesn't fit: every one is worked out once, in generated code.
+    """
+    out = F.translate(strip(x), ",-", ".:")
+    steps = [(r"(?s)^\D*(\d+)(\d\d)\D+(\d+)\D*$", "$1:$2.$3")] if compact else []
+    steps += [(r"(?s)^\D*(\d+)\D+(\d+)\D+(\d+).*$", "$1:$2.$3"), (r"(?s)^\D*(\d+)\D+(\d+)\D*$", "$1.$2")]
+    # noughts before the second and the third group, none before the first
+    steps += [(r"^(\d+[:.])(\d)(?=\.\d+$|$)", "$10$2"), (r"^(\d+:\d+\.)(\d)$", "$10$2"), (r"^0+(?=\d+[:.]\d+(?:\.\d+)?$)", "")]
+    for pattern, new in steps:
+        out = F.regexp_replace(out, pattern, new)
+    return out
 
-def normal_time(x: Column, compact: bool = True) -> Column:
-    """`1:02.03` of any separators; two groups are seconds and hundredths; with `compact`, `1213.36` is `12:13.36`."""
-    token = F.translate(strip(x), ",-", ".:")
 
-    def whole(c: Column) -> Column:
-        return F.regexp_replace(c, "^0+(?=.)", "")
+TIME = r"(?<!\d)\d{1,2}[:.]\d{2}(?:[:.]\d{2})?(?!\d)"
 
-    def two(c: Column) -> Column:
-        return F.when(F.char_length(c) < 2, F.lpad(c, 2, "0")).otherwise(c)
 
-    def made(g: Column) -> Column:
-        first, second, third = (F.get(g, F.lit(i)) for i in range(3))
-        n = F.char_length(first)
-        glued = F.concat(whole(F.substr(first, F.lit(1), n - 2)), F.lit(":"), F.substr(first, n - 1), F.lit("."), two(second))
-        three = F.concat(whole(first), F.lit(":"), two(second), F.lit("."), two(third))
-        return F.when(F.size(g) >= 3, three).when((F.size(g) == 2) & F.lit(compact) & (n >= 3), glued).when(F.size(g) == 2, F.concat(whole(first), F.lit("."), two(second))).otherwise(token)
+CUT = "\x01"
+LONG_TOTAL, TOTAL = r"\d{1,2}[:.]\d{2}[:.]\d{2}", r"\d{1,2}[:.]\d{2}(?:[:.]\d{2})?"
 
-    return F.when(x.isNotNull(), let(F.regexp_extract_all(token, F.lit(r"(\d+)"), 1), made))
 
+def _around(x: Column, pattern: str) -> Column:
+    """array: what stands before the first match, the match, what stands behind it; the text alone without one.
 
-TIME = r"(?<!\d)\d{1,2}[:.]\d{2}(?:[:.]\d{2})?(?!\d)"
+    The character 1, if a text has any, goes.
+    """
+    return F.split(F.regexp_replace(F.translate(x, CUT, ""), rf"(?s)^(.*?)({pattern})(.*)$", f"$1{CUT}$2{CUT}$3"), CUT)
 
 
-def _around(x: Column, pattern: str) -> Column:
-    """array: what stands before the first match, the match, what stands behind it; empty without one."""
-    return F.when(x.rlike(pattern), F.array(strip(F.regexp_extract(x, rf"(?s)^(.*?){pattern}", 1)), F.regexp_extract(x, pattern, 0), strip(F.regexp_extract(x, rf"(?s)^.*?{pattern}(.*)$", 1)))).otherwise(F.array().cast("array<string>"))
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x worked out once, where repeating its expression would blow the generated code up."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
 def _four(x: Column) -> Column:
@@ -79,31 +81,58 @@ def time_parts(x: Column) -> Column:
     """struct(time, left, right): the first time and what stands around it; four digits alone are `12.34`."""
 
     def made(p: Column) -> Column:
-        return F.struct(F.coalesce(F.get(p, F.lit(1)), _four(x)).alias("time"), F.coalesce(F.get(p, F.lit(0)), F.lit("")).alias("left"), F.coalesce(F.get(p, F.lit(2)), F.lit("")).alias("right"))
+        side = lambda i: F.when(F.size(p) == 3, strip(F.get(p, F.lit(i)))).otherwise("")
+        return F.struct(F.coalesce(F.get(p, F.lit(1)), _four(x)).alias("time"), side(0).alias("left"), side(2).alias("right"))
 
     return let(_around(x, TIME), made)
 
 
+def _points(right: Column) -> Column:
+    """The last digits, which go by fours; of four that begin with 1, the last three."""
+    last = F.regexp_extract(right, r"(?s)(?<!\d)(?:\d{4})*?(\d{1,4})\D*$", 1)
+    return F.nullif(F.regexp_replace(last, r"^1(?=\d{3}$)", ""), F.lit(""))
+
+
+def _words(right: Column, points: Column) -> Column:
+    """What is left without digits and marks, if it is longer than two characters; all of it where there are no points."""
+    words = F.regexp_replace(F.trim(F.regexp_replace(right, r"[\d./:\s\-]+", " ")), r"(?s)^.{0,2}$", "")
+    return F.when(points.isNull(), right).otherwise(words)
+
+
+def _rest(x: Column, raw: Column, left: Column, words: Column) -> Column:
+    said = F.concat_ws(" ", F.nullif(left, F.lit("")), F.nullif(words, F.lit("")))
+    return F.when(raw.isNotNull(), said).otherwise(F.when(_four(_marks(x)).isNotNull(), F.lit("")).otherwise(x))
+
+
+def _marks(x: Column) -> Column:
+    return F.translate(x, ",-", ".:")
+
+
 def total_and_points(x: Column, long_form: bool) -> Column:
     """struct(time, points, rest) of a line that ends a result.  long_form: only minutes, seconds and hundredths count.
 
     Points are the last digits behind the time; of four that begin with 1, the last three.  What is left without digits
     and marks, if it is longer than two characters, stays beside what stood before the time.
     """
-    text = F.translate(x, ",-", ".:")
-    pattern = r"\d{1,2}[:.]\d{2}[:.]\d{2}" if long_form else r"\d{1,2}[:.]\d{2}(?:[:.]\d{2})?"
 
     def made(p: Column) -> Column:
-        left, raw, right = (F.get(p, F.lit(i)) for i in range(3))
-        last = F.try_element_at(F.regexp_extract_all(right, F.lit(r"(\d{1,4})"), 1), F.lit(-1))
-        points = F.when((F.char_length(last) == 4) & last.startswith("1"), F.substring(last, 2, 3)).otherwise(last)
-        bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(right, r"\d{1,4}", " "), r"[./:\-]", " "), r"\s+", " "))
-        residue = F.when(last.isNull(), right).when(F.char_length(bare) <= 2, "").otherwise(bare)
-        rest = F.concat_ws(" ", F.nullif(left, F.lit("")), F.nullif(residue, F.lit("")))
-        found = F.size(p) > 0
-        return F.struct(F.when(found, normal_time(raw)).otherwise(_four(text)).alias("time"), F.when(found, points).alias("points"), F.when(found, rest).when(_four(text).isNotNull(), "").otherwise(x).alias("rest"))
-
-    return let(_around(text, pattern), made)
+        left, raw, right = strip(F.get(p, F.lit(0))), F.get(p, F.lit(1)), strip(F.get(p, F.lit(2)))
+        points = _points(right)
+        return F.struct(F.coalesce(normal_time(raw), _four(_marks(x))).alias("time"), points.alias("points"), _rest(x, raw, left, _words(right, points)).alias("rest"))
+
+    return let(_around(_marks(x), LONG_TOTAL if long_form else TOTAL), made)
+
+
+def with_total_and_points(df: DataFrame, line: Column, long_form: bool, time: str = "time", points: str = "points", rest: str = "rest") -> DataFrame:
+    """df with the fields of `total_and_points`, in steps: what several fields need is a column of its own, worked out once
+    in generated code (projections aren't merged over columns that are used more than once)."""
+    x, p = F.col("\1line"), F.col("\1parts")
+    out = df.withColumn("\1line", line).withColumn("\1parts", _around(_marks(x), LONG_TOTAL if long_form else TOTAL))
+    out = out.withColumns({"\1left": strip(F.get(p, F.lit(0))), "\1raw": F.get(p, F.lit(1)), "\1right": strip(F.get(p, F.lit(2)))})
+    out = out.withColumn(points, _points(F.col("\1right")))
+    words = _words(F.col("\1right"), F.col(f"`{points}`"))
+    out = out.withColumns({time: F.coalesce(normal_time(F.col("\1raw")), _four(_marks(x))), rest: _rest(x, F.col("\1raw"), F.col("\1left"), words)})
+    return out.drop("\1line", "\1parts", "\1left", "\1raw", "\1right")
 
 
 def is_pure_time(x: Column) -> Column:

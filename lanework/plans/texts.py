@@ -60,13 +60,13 @@ def parse_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def time_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, s, h = F.col("l_quantity").cast("bigint"), F.col("l_suppkey") % 60, F.col("l_partkey") % 100
     line = F.concat(F.lit("Club "), F.format_string("%d:%02d,%02d ", q, s, h), (h + 100).cast("string"))
-    total = numbers.total_and_points(line, True)
-    return table(spark, sf_dir, "lineitem").select(
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return numbers.with_total_and_points(items, line, True, "total").select(
         "l_orderkey", "l_linenumber", "l_partkey",
         numbers.normal_time(F.format_string("%d-%02d,%02d", q, s, h)).alias("long"),
         numbers.normal_time(F.format_string("%d,%d", s, h)).alias("short"),
         numbers.normal_time(F.format_string("%d%02d.%02d", q, s, h)).alias("compact"),
-        total["time"].alias("total"), total["points"].alias("points"), total["rest"].alias("rest"),
+        "total", "points", "rest",
     )
 
 

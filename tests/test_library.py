@@ -61,6 +61,8 @@ def test_columns_are_the_parsers_functions(spark):
     for long in (True, False):
         got = [tuple(r) for r in values(spark, lambda x, long=long: numbers.total_and_points(x, long), rows)]
         assert got == [L.total_of(r, long) for r in rows]
+        steps = numbers.with_total_and_points(spark.createDataFrame(list(enumerate(rows)), "i int, x string"), F.col("x"), long).orderBy("i")
+        assert [tuple(r) for r in steps.select("time", "points", "rest").collect()] == got
 
 
 @given(st.text(alphabet="ıİşŞğĞüÜöÖçÇéÀñaZ09 -_ﬁ", max_size=20))
