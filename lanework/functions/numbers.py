@@ -143,6 +143,12 @@ def is_compact_split(x: Column) -> Column:
     return strip(x).rlike(r"^\d{3,4}[:\-.]\d{2}$")
 
 
+def now_utc() -> Column:
+    """The moment the query began, in UTC, as ISO 8601 with microseconds, whatever the session's time zone."""
+    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
 def seed_of(x: Column) -> Column:
     """A seed time with `:` for `-`, or NT; else null."""
     clean = strip(x)

@@ -225,6 +225,11 @@ def name_from_url(url: Column) -> Column:
     return F.when(last.rlike(r"(?i)^[a-z]{2,}-\d+$"), last)
 
 
+def meet_key_of_url(url: Column) -> Column:
+    """`cs-12` of a path segment, in lower case; else null."""
+    return F.nullif(F.lower(F.regexp_extract(strip(url), r"(?i)/(cs-\d+)(?:/|$)", 1)), F.lit(""))
+
+
 def file_of_url(url: Column) -> Column:
     return F.url_decode(F.regexp_extract(F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1), r"([^/]*)$", 1))
 

@@ -65,15 +65,30 @@ def exact_two_levels(rows: DataFrame, records: DataFrame, name: str, club: str,
 
 
 def tiered_targets(sources: DataFrame, rows: DataFrame, source: str, link: str, number: str, unresolved: Column) -> DataFrame:
-    """(source, tier, target columns): rows that link to the source; if none, rows of its number; if none, all unresolved
-    rows, as one row for each such source with their count below zero, not as copies of them."""
-    one = sources.join(rows.withColumnRenamed(link, source).drop(number), source)
-    hit = one.select(source).distinct()
-    rest = sources.join(hit, source, "left_anti")
-    two = rest.join(rows.drop(link), number)
-    hit_two = two.select(source).distinct()
-    none = rest.join(hit_two, source, "left_anti")
-    open_rows = rows.where(unresolved).agg((-F.count(F.lit(1))).alias("n"))
-    counts = one.groupBy(source).agg(F.count(F.lit(1)).alias("n")).withColumn("tier", F.lit(1))
-    counts = counts.unionByName(two.groupBy(source).agg(F.count(F.lit(1)).alias("n")).withColumn("tier", F.lit(2)))
-    return counts.unionByName(none.select(source).join(F.broadcast(open_rows)).withColumn("tier", F.lit(3)))
+    """(source, n, tier): how many rows link to the source; if none, how many have its number; if none, the number of all
+    unresolved rows, below zero.  Rows are counted by key before any join, so nothing is multiplied."""
+    by_link = rows.groupBy(F.col(link).alias(source)).agg(F.count(F.lit(1)).alias("__one"))
+    by_number = rows.groupBy(number).agg(F.count(F.lit(1)).alias("__two"))
+    met = sources.join(by_link, source, "left").join(by_number, number, "left")
+    counts = met.groupBy(source).agg(F.sum("__one").alias("__one"), F.sum("__two").alias("__two"))
+    tier = F.when(F.col("__one").isNotNull(), 1).when(F.col("__two").isNotNull(), 2).otherwise(3)
+    open_rows = F.broadcast(rows.agg(F.count_if(unresolved).alias("__open")).withColumn("tier", F.lit(3)))  # one row
+    counts = counts.withColumn("tier", tier).join(open_rows, "tier", "left")
+    return counts.select(source, F.when(F.col("tier") == 1, F.col("__one")).when(F.col("tier") == 2, F.col("__two")).otherwise(-F.col("__open")).alias("n"), "tier")
+
+
+def tiered_rows(sources: DataFrame, rows: DataFrame, source: str, link: str, number: str, unresolved: Column) -> DataFrame:
+    """(source, tier, target): the target rows themselves, each as a struct of all its columns.
+
+    The rows of tier 3 are the same for all sources that have no others: they are given once, with a null source, if there
+    is any such source.  Rows that several sources share in tiers 1 and 2 are given to each of them.
+    """
+    tiers = tiered_targets(sources, rows, source, link, number, unresolved).select(source, "tier")
+    asked = sources.select(source, number).distinct().join(tiers, source)
+    target = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("target")
+    held = rows.select(F.col(link).alias("__link"), F.col(number).alias("__number"), unresolved.alias("__open"), target)
+    one = asked.where("tier = 1").select(source, "tier").distinct().join(held, F.col(source) == F.col("__link")).select(source, "tier", "target")
+    two = asked.where("tier = 2").join(held, F.col(number) == F.col("__number")).select(source, "tier", "target")
+    any_third = F.broadcast(asked.where("tier = 3").select("tier").limit(1))  # one row, or none
+    three = held.where("__open").withColumn("tier", F.lit(3)).join(any_third, "tier").select(F.lit(None).cast(sources.schema[source].dataType).alias(source), "tier", "target")
+    return one.unionByName(two).unionByName(three)

@@ -38,6 +38,20 @@ def natural_upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], order
     return merged(table, changes, keys, fields)
 
 
+def got_or_created(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row for each key of the batch: its first `order`, how many rows have it (n), and `action`: created or kept.
+
+    Rows of one key are counted before they meet the table, of which only the keys are read; nulls are equal to nulls.
+    """
+    new = rows.groupBy(*keys).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n")).alias("new")
+    old = table.select(*keys).distinct().withColumn("__old", F.lit(True)).alias("old")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"new.{k}").eqNullSafe(F.col(f"old.{k}"))
+    action = F.when(F.col("__old").isNotNull(), "kept").otherwise("created").alias("action")
+    return new.join(old, same, "left").select("new.*", action)
+
+
 def summary(rows: DataFrame, result: Column, event: str, next_version: DataFrame) -> DataFrame:
     """rows_seen, rows_with_result, events_seen, created, updated: one row."""
     seen = rows.agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(result).alias("rows_with_result"), F.count_distinct(event).alias("events_seen"))

@@ -102,9 +102,7 @@ def transcript_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["title", "date", "location"]
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderstatus").alias("location"))
-    first = orders.groupBy(*keys).agg(F.min("o_orderkey").alias("ord"), F.count(F.lit(1)).alias("n"))
-    old = orders.where("o_totalprice > 300000").select(*keys).distinct().withColumn("there", F.lit(True))
-    return first.join(old, keys, "left").select(*keys, "ord", "n", F.when(F.col("there"), "kept").otherwise("created").alias("action"))
+    return upsert.got_or_created(orders.where("o_totalprice > 300000"), orders.withColumnRenamed("o_orderkey", "ord"), keys, "ord")
 
 
 _RESULTS = """old AS (SELECT l_orderkey AS e, l_linenumber AS lane, arg_max(l_quantity, o) AS result, arg_max(l_tax, o) AS seed, 1 AS there FROM items WHERE l_returnflag = 'N' GROUP BY ALL),

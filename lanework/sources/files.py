@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +46,58 @@ def as_pages(texts: Column) -> Column:
     return F.array_join(F.transform(filled, lambda p: F.concat(F.lit("--- Page "), p["n"].cast("string"), F.lit(" ---\n"), F.rtrim(p["t"]), F.lit("\n"))), "\n")
 
 
+#: Fixed value: a line that has a rank, words and a time.
+RESULT_LINE = r"(?s)\b\d{1,3}\.\s+.+?(\d{1,2}:\d{2}\.\d{2}|\d{1,2}\.\d{2})\b"
+
+
 def needs_ocr(pages: DataFrame, doc: str, page: str, text: str, sample: int = 5, least: int = 200) -> DataFrame:
-    """(doc, needs): fewer than `least` characters on the first `sample` pages."""
-    return pages.groupBy(doc).agg((F.coalesce(F.sum(F.when(F.col(page) <= sample, F.char_length(F.trim(text)))), F.lit(0)) < least).alias("needs"))
+    """(doc, needs): fewer than `least` characters on the first `sample` pages; a document without any page has no row.
+
+    Lines like a result's change nothing: with enough characters none is needed either way.  `result_pages` counts them.
+    """
+    own = F.when(F.col(page) <= max(sample, 1), F.char_length(F.trim(text)))
+    return pages.groupBy(doc).agg((F.coalesce(F.sum(own), F.lit(0)) < least).alias("needs"))
+
+
+def result_pages(pages: DataFrame, doc: str, page: str, text: str, sample: int = 5) -> DataFrame:
+    """(doc, result_pages): how many of the first `sample` pages have a line like a result's."""
+    return pages.groupBy(doc).agg(F.count_if((F.col(page) <= max(sample, 1)) & F.col(text).rlike(RESULT_LINE)).alias("result_pages"))
+
+
+#: Readers of page texts by name: a function of (documents, path of their content) that gives (path, page, text).
+BACKENDS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def backend(name: str, reader: Callable[[DataFrame], DataFrame]) -> None:
+    """Makes a reader known, such as one for PDF files or a recognition model that this environment lacks."""
+    BACKENDS[name] = reader
+
+
+def page_texts(documents: DataFrame, native: str, recognised: str, doc: str = "path", force: bool = False) -> DataFrame:
+    """(doc, page, text) by the native reader, and by the other one for documents that need recognition, or for all if forced."""
+    for name in (native, recognised):
+        if name not in BACKENDS:
+            raise LookupError(f"no backend {name}; known: {sorted(BACKENDS)}")
+    if force:
+        return BACKENDS[recognised](documents)
+    own = BACKENDS[native](documents)
+    wanting = needs_ocr(own, doc, "page", "text").where("needs").select(doc)
+    return own.join(wanting, doc, "left_anti").unionByName(BACKENDS[recognised](documents.join(wanting, doc, "left_semi")))
+
+
+def newest(spark: SparkSession, path: str, glob: str = "*") -> str | None:
+    """The path of the file last changed; of equally new ones the greatest path; None without files."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return found.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+
+
+def made_once(spark: SparkSession, path: str, make: Callable[[], DataFrame], forced: bool = False) -> DataFrame:
+    """The table under `path`, made only if it is missing or forced; it is put in place whole."""
+    from lanework.sources.sinks import exists, swap
+
+    if forced or not exists(spark, path):
+        swap(spark, make(), path)
+    return spark.read.parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:

@@ -147,9 +147,29 @@ def test_tiers(spark):
     assert {tuple(r) for r in got.collect()} == {("a", 2, 1), ("b", 2, 2), ("c", -2, 3)}
 
 
+def test_rows_of_tiers(spark):
+    sources = spark.createDataFrame([("a", 1), ("b", 2), ("c", 9), ("d", 8)], "f string, n int")
+    rows = spark.createDataFrame([("a", 5, ""), ("a", 2, "x"), ("z", 2, ""), ("z", 7, None)], "link string, n int, result string")
+    got = joins.tiered_rows(sources, rows, "f", "link", "n", F.coalesce("result", F.lit("")) == "")
+    assert sorted((r["f"] or "", r["tier"], r["target"]["link"], r["target"]["n"]) for r in got.collect()) == [
+        ("", 3, "a", 5), ("", 3, "z", 2), ("", 3, "z", 7), ("a", 1, "a", 2), ("a", 1, "a", 5), ("b", 2, "a", 2), ("b", 2, "z", 2),
+    ]
+    assert joins.tiered_rows(sources.where("f < 'c'"), rows, "f", "link", "n", F.lit(True)).where("tier = 3").count() == 0
+    counts = joins.tiered_targets(sources, rows, "f", "link", "n", F.lit(True))
+    assert {tuple(r) for r in counts.collect()} == {("a", 2, 1), ("b", 2, 2), ("c", -4, 3), ("d", -4, 3)}
+    assert joins.tiered_targets(sources, rows.where("false"), "f", "link", "n", F.lit(True)).where("n = 0 and tier = 3").count() == 4
+
+
 # upserts
 
 
+def test_got_or_created(spark):
+    table = spark.createDataFrame([("x", "1"), ("x", "1"), (None, "2")], "title string, date string")
+    rows = spark.createDataFrame([("x", "1", 5), ("x", "1", 3), ("y", "1", 1), (None, "2", 9)], "title string, date string, ord int")
+    got = upsert.got_or_created(table, rows, ["title", "date"], "ord")
+    assert {tuple(r) for r in got.collect()} == {("x", "1", 3, 2, "kept"), ("y", "1", 1, 1, "created"), (None, "2", 9, 1, "kept")}
+
+
 def test_patch_keeps_what_is_not_there(spark):
     table = spark.createDataFrame([("k1", "a", 5), ("k2", "b", 6)], "key string, result string, lane int")
     rows = spark.createDataFrame([("k1", 1, "new", None, True, False), ("k1", 2, None, 9, False, True), ("k3", 3, "c", 1, True, True)], "key string, o int, result string, lane int, p1 boolean, p2 boolean")
@@ -295,3 +315,80 @@ def test_failures_wait_for_new_content(spark):
     assert incremental.pending(make(("a", "2"), ("b", "1")), read, failed).count() == 0
     done, read, failed = incremental.polled(make(("b", "2")), read, failed, F.lit(True))
     assert done.count() == 1 and failed.count() == 0 and read.count() == 2
+
+
+def test_polls_keep_their_state(spark, tmp_path):
+    path = str(tmp_path / "state")
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, signature string")
+    assert incremental.load_state(spark, path).polls == 0
+    assert [r["path"] for r in incremental.poll(spark, path, files(("a", "1"), ("b", "1")), F.col("path") == "a").collect()] == ["a"]
+    assert incremental.poll(spark, path, files(("a", "2"), ("b", "1")), F.lit(True)).count() == 0  # read, or failed just so
+    assert [r["path"] for r in incremental.poll(spark, path, files(("b", "2")), F.lit(True)).collect()] == ["b"]
+    state = incremental.load_state(spark, path)
+    assert (state.polls, state.failed.count(), sorted(r["path"] for r in state.read.collect())) == (3, 0, ["a", "b"])
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["000000002", "000000003", "done"]
+    for part in (tmp_path / "state" / "000000003" / "read").glob("*.parquet"):
+        part.write_bytes(b"no table")
+    assert incremental.load_state(spark, path).read.count() == 0
+
+
+def test_the_loop_pushes_after_good_runs(spark):
+    done, slept = [], []
+    outcomes = iter([True, False, True])
+    run = lambda: done.append("run") or next(outcomes)
+    push = [lambda: done.append("push") or False, lambda: done.append("again") or True]
+    assert incremental.repeated(run, push, 5, most=3, sleep=slept.append) == 3
+    assert done == ["run", "push", "again", "run", "run", "push", "again"] and slept == [5, 5]
+    done.clear()
+    assert incremental.repeated(lambda: done.append("run") or True, push, 5, most=9, begun=4, stop_on_error=True, sleep=slept.append) == 5
+    assert done == ["run", "push"]
+    assert incremental.repeated(lambda: False, push, 5, most=4, begun=4, sleep=slept.append) == 4
+    with pytest.raises(ValueError):
+        incremental.repeated(run, every=0)
+
+
+def test_calls_carry_token_and_trial():
+    plain = sinks.call("http://a.test/x", sinks.payload([{"name": "Şule"}]))
+    assert plain.data == '{"rows": [{"name": "Şule"}]}'.encode() and plain.get_method() == "POST" and not plain.has_header("X-ingest-token")
+    trial = sinks.call("http://a.test/x", b"a,b\n1,2\n", sinks.CSV, "secret", True)
+    assert trial.full_url == "http://a.test/x?dry_run=1" and trial.get_header("X-ingest-token") == "secret" and trial.get_header("Content-type").startswith("text/csv")
+
+
+def test_page_texts_by_backend(spark):
+    documents = spark.createDataFrame([("scan",), ("text",)], "path string")
+    files.backend("native-test", lambda d: d.select("path", F.lit(1).alias("page"), F.when(F.col("path") == "text", F.repeat(F.lit("7. Ada LANE 28.45 "), F.lit(20))).otherwise("").alias("text")))
+    files.backend("model-test", lambda d: d.select("path", F.lit(1).alias("page"), F.lit("recognised").alias("text")))
+    got = {r["path"]: r["text"][:10] for r in files.page_texts(documents, "native-test", "model-test").collect()}
+    assert got == {"scan": "recognised", "text": "7. Ada LAN"}
+    assert {r["text"] for r in files.page_texts(documents, "native-test", "model-test", force=True).collect()} == {"recognised"}
+    with pytest.raises(LookupError):
+        files.page_texts(documents, "native-test", "unknown")
+    pages = files.BACKENDS["native-test"](documents)
+    assert {tuple(r) for r in files.needs_ocr(pages, "path", "page", "text").collect()} == {("scan", True), ("text", False)}
+    assert {tuple(r) for r in files.result_pages(pages, "path", "page", "text").collect()} == {("scan", 0), ("text", 1)}
+
+
+def test_newest_and_made_once(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(("b.json", "a.json", "c.txt")):
+        (tmp_path / name).write_text("{}")
+        os.utime(tmp_path / name, (1000 + i, 1000 + i))
+    assert files.newest(spark, str(tmp_path), "*.json").endswith("a.json")
+    made = []
+    make = lambda: made.append(1) or spark.range(len(made))
+    path = str(tmp_path / "cache")
+    assert [files.made_once(spark, path, make, forced=f).count() for f in (False, False, True)] == [1, 1, 2] and len(made) == 2
+
+
+def test_document_payloads(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "b", 2), ("x", "a", 1), ("y", "c", 3)], "doc string, name string, rank int")
+    path = str(tmp_path / "payload")
+    sinks.document_payload(rows, path, "doc", backend="lines")
+    got = {r["doc"]: r for r in spark.read.json(path).collect()}
+    assert got["x"]["row_count"] == 2 and [r["name"] for r in got["x"]["rows"]] == ["a", "b"] and got["y"]["backend"] == "lines"
+    assert got["x"]["processed_at_utc"].endswith("+00:00") and "T" in got["x"]["processed_at_utc"]
+
+
+def test_meet_keys_of_urls(spark):
+    assert values(spark, text.meet_key_of_url, ["https://x.test/CS-12/live", " https://x.test/a/cs-7 ", "https://x.test/cs-7x", None]) == ["cs-12", "cs-7", None, None]
