@@ -6,15 +6,18 @@ equal windows hold equal anchors at the same place, and a run of neighbouring wi
 
 1. Seed: documents meet on anchors.  Anchors are hashed into buckets; each segment of documents sends each bucket its
    distinct anchors once, and is told which of them occur elsewhere, or more than once in itself.
-2. Extend: only around such anchors, matches are extended to both sides, up to the window's length: for each split into
-   words before and behind the anchor, the extended match is fingerprinted with 128 bits, and equal extensions meet in the
-   anchor's bucket.  So a group of m copies costs m fingerprints for each split and not m * m comparisons.
+2. Extend: only around such anchors, windows are extended from the anchor to both sides and fingerprinted whole (two mixes of
+   64-bit word hashes); equal ones meet in the anchor's bucket.  So a group of m copies costs m fingerprints for each of its
+   windows and not m * m comparisons; matches are not grown word by word.
 3. Keep: neighbouring repeated windows make up maximal repeats, [begin, end) in words of the document.
 
 Scale: documents are packed into segments of a few MB, written once to the shared folder.  What a segment sends to a
 bucket is sorted, distinct and packed into one binary value, so an anchor or passage that a third of all documents hold
 counts once for each segment (aggregation before the shuffle).  The number of buckets grows with the number of segments,
-so a bucket's size doesn't.  Texts move twice, compressed, to meet the answers for their segment.
+so a bucket's size doesn't, but for a bucket with an anchor that very many segments hold: it gets a message from each of
+these, and is one task (some 40 bytes a message: 25 million segments, 50 TB of text, would ask for about 1 GB).  Texts move
+twice, compressed, to meet the answers for their segment.  A worker holds some thirty times a segment, which is 2 MB or one
+longer text: a text of 100 MB asks for about 3 GB.
 
 Defined results: null and empty texts have no words and lose none; documents of fewer words than the window lose none;
 repeated rows are each other's repeats, whatever their ids; an empty table gives an empty table; other columns pass

@@ -4,8 +4,8 @@ A rule is a host and a path prefix; it fits the host and all its subdomains.  Ke
 reversed (`example.org` is `org.example`), a byte that sorts below all others, then the path.  A rule's prefix is then an
 interval of keys, and two rules' intervals are nested or apart.  An url stands once for each of its host's suffixes, as
 long as the suffix is the host of any rule.  Rules and urls are sorted together; going through them in order, the rules
-that are open form a stack.  A rule's stack is laid down beforehand; a url takes the stack of the last rule before it and
-pops what does not hold it any more.
+that are open form a stack.  A rule's stack (the rules of its host that hold it) is laid down beforehand, by joining beginnings of
+its path with equal paths; a url takes the stack of the last rule before it and pops what does not hold it any more.
 
 Scale: urls are reduced to distinct (host, path) before the sweep.  The sort is dealt by rule host, and hosts with many
 urls by as many salts as their count asks for, the few rules of that host copied to each: no host, not even `com`, makes
@@ -54,9 +54,12 @@ def rules_frame(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> D
 def _stacked(rules: DataFrame) -> DataFrame:
     """Each rule with the rules of its host that hold it, itself included, outermost first."""
     rules = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    inner, outer = rules.alias("i"), rules.alias("o")
-    pairs = inner.join(outer, (F.col("i.host") == F.col("o.host")) & F.startswith(F.col("i.path"), F.col("o.path")))
-    return pairs.groupBy(F.col("i.host").alias("rule_host"), F.col("i.path").alias("rule_path")).agg(F.array_sort(F.collect_list(F.struct(F.length("o.path").alias("size"), F.col("o.path").alias("path"), F.col("o.verdict").alias("verdict")))).alias("stack"))
+    # beginnings of a path, only of the sizes that paths of its host have, meet equal paths: no pair is tried in vain
+    sizes = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("sizes"))
+    inner = rules.join(sizes, "host").select("host", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("size"))
+    inner = inner.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.expr("substring(path, 1, size)").alias("begun"))
+    pairs = inner.join(rules, (F.col("rule_host") == F.col("host")) & (F.col("begun") == F.col("path")))
+    return pairs.groupBy("rule_host", "rule_path").agg(F.array_sort(F.collect_list(F.struct(F.length("path").alias("size"), "path", "verdict"))).alias("stack"))
 
 
 def judge_keys(keys: DataFrame, rules: DataFrame, rows_a_salt: int = ROWS_A_SALT) -> DataFrame:

@@ -519,6 +519,14 @@ def test_nested_rules_and_salts(spark):
     assert url_rules.judge(pages, url_rules.rules_frame(spark, [])).where("rule is not null").count() == 0
 
 
+def test_stacks_are_the_rules_that_hold_a_rule(spark):
+    r = np.random.default_rng(6)
+    rules = {("h" if i % 3 else "g", "/" + "".join(r.choice(list("ab"), int(r.integers(0, 7))))) for i in range(120)}
+    frame = url_rules.rules_frame(spark, [(h, p, "block") for h, p in sorted(rules)])
+    got = {(x["rule_host"], x["rule_path"]): [s["path"] for s in x["stack"]] for x in url_rules._stacked(frame).collect()}
+    assert got == {(h, p): sorted((q for g, q in rules if g == h and p.startswith(q)), key=len) for h, p in rules}
+
+
 # quality
 
 
