@@ -36,3 +36,30 @@ def result_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _lists(items, "Yarış %d, Erkekler; 50m Serbest\n", row).withColumnRenamed("l_orderkey", "doc")
     got = registry.result_rows(docs).where("kind = 'record'")
     return got.groupBy("doc").agg(F.count(F.lit(1)).alias("records"), F.max("club").alias("club"), F.min("time").alias("time"), F.sum(F.col("points").cast("bigint")).alias("points"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority || ' Meet' AS event_title, strftime(o_orderdate, '%d.%m.%Y') AS event_date, 'ANKARA' AS event_location, 'Yarış ' || o_orderkey::VARCHAR AS event_name, 'Erkekler' AS gender, '50m' AS distance,
+  'Serbest ' || o_orderstatus AS style FROM orders""")
+def start_list_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.concat(F.lit("Splash Meet Manager, 11.83565\nRegistered to x\n"), "o_orderpriority", F.lit(" Meet - SPLASH Meet Manager 11\nANKARA, 1. - 2.1.2026\n"))
+    event = F.concat(F.lit("Yarış "), F.col("o_orderkey").cast("string"), F.lit("\nErkekler, 50m  Serbest "), "o_orderstatus", F.date_format("o_orderdate", "'\n'dd.MM.yyyy' - 9:50\nSeri 1 of 2'"))
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(head, event).alias("text"))
+    return startlist.header(docs, "o_orderkey", "text")
+
+
+@query("""SELECT l_orderkey::VARCHAR AS doc, CAST(count_if(l_linenumber % 2 = 1) AS BIGINT) AS disks, CAST(count_if(l_linenumber % 2 = 0) AS BIGINT) AS tds, max(CASE WHEN l_linenumber % 2 = 1 THEN 'SW 4.' || (l_partkey % 9 + 1)::VARCHAR END) AS rule,
+  max(CASE WHEN l_linenumber % 2 = 1 THEN '15:1' || (l_suppkey % 10)::VARCHAR END) AS note_time, max(CASE WHEN l_linenumber % 2 = 1 THEN 'DQ' END) AS status,
+  max(CASE WHEN l_linenumber % 2 = 0 THEN '1:' || lpad(CAST(l_quantity AS BIGINT)::VARCHAR, 2, '0') || '.' || lpad((l_partkey % 100)::VARCHAR, 2, '0') END) AS time,
+  CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN 200 + l_partkey % 700 END) AS BIGINT) AS points, max('Club ' || chr(CAST(97 + l_suppkey % 26 AS INT))) AS club FROM lineitem GROUP BY 1""")
+def result_list_specials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    club = F.concat(F.lit("Club "), F.char((F.col("l_suppkey") % 26 + 97).cast("int")))
+    disk = F.concat(F.lit("disk.\nAda LANE\n09\n"), club, F.format_string("\nSW 4.%d\n(Zaman: 15:1%d)", F.col("l_partkey") % 9 + 1, F.col("l_suppkey") % 10))
+    td = F.concat(F.lit("td.\n(Td) Can POOL 11\n"), club, F.format_string("\n1:%02d.%02d %d", F.col("l_quantity").cast("bigint"), F.col("l_partkey") % 100, F.col("l_partkey") % 700 + 200))
+    docs = _lists(items, "Yarış %d, Erkekler; 50m Serbest\n", F.when(F.col("l_linenumber") % 2 == 1, disk).otherwise(td)).withColumnRenamed("l_orderkey", "doc")
+    got = registry.result_rows(docs).where("kind = 'special'")
+    of = lambda kind: F.col("special_type") == kind
+    return got.groupBy("doc").agg(
+        F.count_if(of("disk")).alias("disks"), F.count_if(of("td")).alias("tds"), F.max("rule").alias("rule"), F.max("note_time").alias("note_time"), F.max("status").alias("status"),
+        F.max("time").alias("time"), F.sum(F.col("points").cast("bigint")).alias("points"), F.max("club").alias("club"),
+    )

@@ -297,3 +297,30 @@ def page_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_links(table(spark, sf_dir, "pages"))
+
+
+@query("""SELECT p_partkey, p_type AS title, p_size::VARCHAR AS list, p_name AS name, p_brand AS brand FROM part""")
+def path_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, size = F.col("p_type"), F.col("p_size").cast("string")
+    new = F.concat(F.lit("/r/"), kind, F.lit(" - SPLASH Meet Manager 11/startlists/StartList_"), size, F.lit(".pdf"))
+    old = F.concat(F.lit("/r/results/"), kind, F.lit("/resultlist_"), size, F.lit(".pdf"))
+    path = F.when(F.col("p_partkey") % 2 == 0, new).otherwise(old)
+    name, brand = text.strip_entry_tag(F.concat(F.lit("(tk) "), "p_name")), text.strip_product(F.concat("p_brand", F.lit(" - Splash  Meet Manager 11")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.title_of_path(path).alias("title"), text.list_number(path).alias("list"), name.alias("name"), brand.alias("brand"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 0 THEN s_name || ' & Cup' END AS title, CASE WHEN s_suppkey % 5 > 0 THEN (s_suppkey % 28 + 1)::VARCHAR || '.1.2026' END AS date,
+  CASE WHEN s_suppkey % 5 > 0 THEN 'CITY (' || s_nationkey::VARCHAR || ')' END AS location FROM supplier""")
+def event_page_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier")
+    date = F.when(F.col("s_suppkey") % 5 > 0, F.concat((F.col("s_suppkey") % 28 + 1).cast("string"), F.lit(".1.2026"))).otherwise("&nbsp;")
+    page = F.concat(F.lit('<body><DIV class=a id="header"><table><tr><td>'), "s_name", F.lit(" &amp; <b>Cup</b></td><td>50m</td></tr>\n<tr><td>CITY ("), F.col("s_nationkey").cast("string"), F.lit(")</td><td>"), date, F.lit("</td></tr></table></div><td>x</td>"))
+    return suppliers.select("s_suppkey", html.header_fields(page).alias("h")).select("s_suppkey", "h.*")
+
+
+@query("SELECT p_partkey, p_partkey % 4 = 0 AS swimmer FROM part")
+def swimmer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.upper(F.get(F.split("p_name", " "), F.lit(0)))
+    kinds = [F.concat(F.lit("Ada "), first), F.col("p_name"), F.concat(F.lit("Ada "), first, F.lit(" 12")), F.concat(F.lit("Ada "), first, F.lit(" Spor"))]
+    line = F.get(F.array(*kinds), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.is_probable_swimmer(line).alias("swimmer"))
