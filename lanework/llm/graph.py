@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanework.llm.store import written_and_told
+from lanework.llm.store import removed, stored_and_told
 
 ROUNDS = 60
 #: Edges that a task looks at together.
@@ -71,12 +71,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): for each node of an edge (u, v), bigint, the least node of its component."""
     sums = {"n": F.count(F.lit(1)), "s": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
     begun = _tied_in_tasks(edges.where("u <> v")).distinct()
-    now, state = written_and_told(begun, f"{name}-0", **sums)
+    now, path, state = stored_and_told(begun, f"{name}-0", **sums)
     for i in range(1, ROUNDS):
         if not state["n"]:
             break
-        before = state
-        now, state = written_and_told(_small_star(_large_star(now)), f"{name}-{i}", **sums)
+        before, old = state, path
+        now, path, state = stored_and_told(_small_star(_large_star(now)), f"{name}-{i}", **sums)
+        removed(edges.sparkSession, old)  # the next round is whole: nothing reads the last one
         if state == before:
             break
     else:

@@ -21,15 +21,25 @@ from lanework.session import scratch
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written to the shared folder and read again: lineage ends here, and lost executors lose nothing."""
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As written, and where: `removed` takes it away once nothing reads it any more."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written_and_told(df: DataFrame, name: str, **asked: Column) -> tuple[DataFrame, dict]:
-    """The same, and sums over all rows that the writing job works out by the way."""
+def stored_and_told(df: DataFrame, name: str, **asked: Column) -> tuple[DataFrame, str, dict]:
+    """As stored, and sums over all rows that the writing job works out by the way."""
     told = Observation()
-    return written(df.observe(told, *[c.alias(n) for n, c in asked.items()]), name), told.get
+    return *stored(df.observe(told, *[c.alias(n) for n, c in asked.items()]), name), told.get
 
 
 def bounded_batches(spark: SparkSession) -> None:
