@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.llm import bpe, decontaminate, neardup, quality, substring
-from lanework.llm.store import ROW, unwrapped, wrapped, written
+from lanework.llm.store import ROW, removed, stored, unwrapped, wrapped
 
 ORACLE_SQL = None
 
@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays."""
+    """One document of each group stays; groups are components of links, so it can stand for one it is like by a chain only."""
     return neardup.one_of_each(docs)
 
 
@@ -64,7 +64,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs, path = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before:
+            removed(spark, before)  # what this stage read; its own table is whole
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
