@@ -237,17 +237,20 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, vo
         if voted is None or voted[i]:
             often[f] += 1
     held = often >= least
-    rows = [(f[held[f]], v[held[f]]) for f, v in features]
+    # in two large arrays, which go back to the system afterwards: small ones would stay with the worker
+    ends = np.cumsum([0, *[int(held[f].sum()) for f, _ in features]])
+    codes, values = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
+    for (f, v), a, b in zip(features, ends[:-1], ends[1:], strict=True):
+        codes[a:b], values[a:b] = f[held[f]], v[held[f]]
     random = np.random.default_rng(seed)
     sure = (2 * targets - 1) ** 2 * np.where(targets < 0.5, rare, 1.0) * (1.0 if voted is None else np.where(voted, 1.0, 0.1))
     mean, mean_bias = np.zeros(1 << bits), 0.0
     for epoch in range(epochs):
-        order = random.permutation(len(rows))
+        order = random.permutation(len(features))
         for at in range(0, len(order), 64):
             batch = order[at : at + 64]
-            sizes = [len(rows[i][0]) for i in batch]
-            owner = np.repeat(np.arange(len(batch)), sizes)
-            f, v = (np.concatenate([rows[i][j] for i in batch]) for j in range(2))
+            owner = np.repeat(np.arange(len(batch)), ends[batch + 1] - ends[batch])
+            f, v = (np.concatenate([x[ends[i] : ends[i + 1]] for i in batch]) for x in (codes, values))
             margin = np.bincount(owner, weights[f] * v, len(batch)) + bias
             off = sure[batch] * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - targets[batch])
             own, place = np.unique(f, return_inverse=True)
@@ -363,8 +366,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     def trained(batches):  # in one task; bounded by `sample`
         held: dict[int, tuple] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["k"], (np.frombuffer(row["f"], np.int32), np.frombuffer(row["v"], np.float32), [row[n] for n in names]))
+            told = zip(*[batch.column(n).to_pylist() for n in names], strict=True)
+            for k, f, v, own in zip(batch.column("k").to_pylist(), batch.column("f"), batch.column("v"), told, strict=True):
+                held.setdefault(k, (np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32), own))  # no copies
         order = sorted(held)
         told = np.array([held[k][2] for k in order], np.float64).reshape(-1, len(columns), 2)
         own = [held[k][:2] for k in order]
