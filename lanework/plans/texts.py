@@ -236,7 +236,7 @@ def date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, (p_size + 50) AS distance, CASE WHEN p_size + 50 >= 100 THEN (p_size + 50) // 50 ELSE 0 END AS splits, p_brand || '-' || lpad(p_partkey::VARCHAR, 6, '0') AS key FROM part""")
 def distance_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = numbers.distance_in_text(F.concat(F.lit("Yarış; "), F.translate((F.col("p_size") + 50).cast("string"), "0", "O"), F.lit(" m Serbest")))
-    return table(spark, sf_dir, "part").select("p_partkey", d.alias("distance"), numbers.expected_splits(d).alias("splits"), numbers.format_key(F.col("p_brand"), F.col("p_partkey")).alias("key"))
+    return table(spark, sf_dir, "part").select("p_partkey", d.alias("distance"), numbers.expected_splits(d).alias("splits"), numbers.fixed_key(F.col("p_brand"), F.col("p_partkey")).alias("key"))
 
 
 @query("""SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS name, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS club, '' AS no_club FROM part""")
