@@ -61,13 +61,9 @@ def time_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, s, h = F.col("l_quantity").cast("bigint"), F.col("l_suppkey") % 60, F.col("l_partkey") % 100
     line = F.concat(F.lit("Club "), F.format_string("%d:%02d,%02d ", q, s, h), (h + 100).cast("string"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return numbers.with_total_and_points(items, line, True, "total").select(
-        "l_orderkey", "l_linenumber", "l_partkey",
-        numbers.normal_time(F.format_string("%d-%02d,%02d", q, s, h)).alias("long"),
-        numbers.normal_time(F.format_string("%d,%d", s, h)).alias("short"),
-        numbers.normal_time(F.format_string("%d%02d.%02d", q, s, h)).alias("compact"),
-        "total", "points", "rest",
-    )
+    given = {"long": F.format_string("%d-%02d,%02d", q, s, h), "short": F.format_string("%d,%d", s, h), "compact": F.format_string("%d%02d.%02d", q, s, h)}
+    times = numbers.with_normal_times(items, given)
+    return numbers.with_total_and_points(times, line, True, "total").select("l_orderkey", "l_linenumber", "l_partkey", *given, "total", "points", "rest")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Erkekler' ELSE 'Kadınlar' END AS gender, '4x' || p_size::VARCHAR || 'm' AS distance, p_type AS style,
