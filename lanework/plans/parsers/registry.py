@@ -16,6 +16,8 @@ from lanework.plans.parsers import lines, resultlist, startlist
 Parser = Callable[[str], dict]
 #: The start-list layout is known by a name of its own, which no text names: it is asked for as the preferred version.
 PARSERS: dict[str, Parser] = {"11.83565": resultlist.parse, "startlist_11.83565": startlist.parse_lanes}
+#: Parsers that have a form without labelled lines.
+UNLABELLED: dict[Parser, Parser] = {resultlist.parse: resultlist.parse_unlabelled}
 #: Versions that share another one's layout.
 ALIASES = {"11.83082": "11.83565"}
 
@@ -41,15 +43,20 @@ def parser_for(version: str) -> Parser:
     return known
 
 
-def parse_any(text: str, preferred: str | None = None) -> dict:
+def parse_any(text: str, preferred: str | None = None, labels: bool = True) -> dict:
     """By the preferred version; if that fails, by the version that the text names; if both fail, the first failure."""
+
+    def parsed(version: str) -> dict:
+        parser = parser_for(version)
+        return (parser if labels else UNLABELLED.get(parser, parser))(text)
+
     try:
-        return parser_for(preferred or detected(text))(text)
+        return parsed(preferred or detected(text))
     except Exception:
         if not preferred:
             raise
         try:
-            return parser_for(detected(text))(text)
+            return parsed(detected(text))
         except Exception:
             pass
         raise
@@ -85,7 +92,7 @@ def _rows(docs: DataFrame, doc: str, text: str, preferred: str | None, rows: Cal
             columns: dict[str, list] = {f: [] for f in fields}
             for name, value in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 try:
-                    got, wrong = rows(parse_any(value or "", preferred)), None
+                    got, wrong = rows(parse_any(value or "", preferred, labels=False)), None
                 except Exception as e:
                     got, wrong = [("error", {})], f"{type(e).__name__}: {e}"
                 docs_ += [name] * len(got)
