@@ -213,27 +213,49 @@ class Learner:
         self.updates = [np.zeros(len(self.noise), np.int64) for _ in range(2)]  # of contexts, of targets
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
+        """The noise's chances are (1 + tanh) / 2 of half their logits, so the halves and the ones are left to small sums."""
         model = self.model
         fake = np.minimum(np.searchsorted(self.upto, self.random.random(NOISE) * self.upto[-1], "right"), len(self.upto) - 1)
-        r, q, f = model.contexts[context], model.targets[target], model.targets[fake]
-        true_off = 1 / (1 + np.exp(-((r * q).sum(1) + model.bias[target] - self.shift[target]))) - 1
-        fake_off = 1 / (1 + np.exp(-(r @ f.T + model.bias[fake] - self.shift[fake])))
-        grad_r = true_off[:, None] * q + fake_off @ f
+        r, q, f = model.contexts.take(context, 0), model.targets.take(target, 0), model.targets.take(fake, 0)
+        true_off = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", r, q) + model.bias[target] - self.shift[target]))) - 1
+        wide = r.shape[1]
+        with_one = np.empty((len(r), wide + 1), np.float32)
+        with_one[:, :wide], with_one[:, wide] = r, 1
+        half = np.column_stack([f, model.bias[fake] - self.shift[fake]]) * np.float32(0.5)
+        off = with_one @ half.T
+        np.tanh(off, out=off)
+        grad_r = off @ f
+        grad_r += f.sum(0)
+        grad_r *= 0.5
+        grad_r += true_off[:, None] * q
         rows = np.concatenate([target, fake])
-        grad_q = np.concatenate([true_off[:, None] * r, fake_off.T @ r])
-        grad_b = np.concatenate([true_off, fake_off.sum(0)])
+        # changes of targets, and in the last column of their bias
+        grad_q = np.concatenate([true_off[:, None] * with_one, ((with_one.T @ off).T + with_one.sum(0)) * np.float32(0.5)])
         for k, (at, x, g) in enumerate(((context, model.contexts, grad_r), (rows, model.targets, grad_q))):
-            order = np.argsort(at, kind="stable")
-            sorted_at = at[order]
-            first = np.flatnonzero(np.append(True, sorted_at[1:] != sorted_at[:-1]))
-            own = sorted_at[first]
+            own, sums = _sums_of(at, g)
+            total = sums[:, :wide]
             self.updates[k][own] += 1
-            total = np.add.reduceat(g[order], first)
-            self.squares[k][own] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-            slow = (rate / np.sqrt(self.squares[k][own])).astype(np.float32)
-            x[own] -= slow[:, None] * total
+            squares = self.squares[k].take(own) + np.einsum("ij,ij->i", total, total) / wide
+            self.squares[k][own] = squares
+            slow = (rate / np.sqrt(squares)).astype(np.float32)
+            x[own] = x.take(own, 0) - slow[:, None] * total
             if k:
-                model.bias[own] -= slow * np.add.reduceat(grad_b[order], first)
+                model.bias[own] -= slow * sums[:, wide]
+
+
+def _sums_of(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and the sum of g over each; most occur once and are only copied."""
+    order = np.argsort((at & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits at a time are sorted by counting
+    if at.max(initial=0) > 0xFFFF:
+        order = order[np.argsort((at[order] >> 16).astype(np.uint16), kind="stable")]
+    sorted_at = at[order]
+    first = np.flatnonzero(np.append(True, sorted_at[1:] != sorted_at[:-1]))
+    sums, n = g.take(order[first], 0), np.diff(np.append(first, len(order)))
+    many = n > 1
+    if many.any():
+        begins = np.cumsum(n[many])
+        sums[many] = np.add.reduceat(g.take(order[np.repeat(many, n)], 0), begins - n[many])
+    return sorted_at[first], sums
 
 
 def _pairs(classes: Classes, batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
